@@ -158,7 +158,7 @@ VIEWS = {
     "flagged": """
         SELECT '0x' || lpad(lower(hex(s_suppkey + 100)), 40, '0') AS address FROM supplier WHERE s_acctbal < 1000""",
     "calls": """
-        SELECT id, api_key_id, created_at, epoch_us(created_at) AS at FROM request_log WHERE api_key_id IS NOT NULL""",
+        SELECT id, api_key_id, created_at, epoch_us(created_at) AS us FROM request_log WHERE api_key_id IS NOT NULL""",
     "head": "SELECT max(block_number) AS head FROM raw_tx",
     "windows": """
         SELECT id AS protocol_id, address, created_at AS protocol_created_at, seen + 1 AS from_block,
@@ -190,28 +190,28 @@ _MESSAGE = (
 def _limiter(per_minute: int, per_day: int, minute: int, day: int) -> str:
     """Fold the calls of each key in order into the list of admitted ones, then look up every call."""
     step = (
-        "lambda acc, x: CASE WHEN len(list_filter(acc, lambda a: a.at > x[1].at - {m})) < {pm} "
-        "AND len(list_filter(acc, lambda a: a.at > x[1].at - {d})) < {pd} THEN list_append(acc, x[1]) ELSE acc END"
+        "lambda acc, x: CASE WHEN len(list_filter(acc, lambda a: a.us > x[1].us - {m})) < {pm} "
+        "AND len(list_filter(acc, lambda a: a.us > x[1].us - {d})) < {pd} THEN list_append(acc, x[1]) ELSE acc END"
     ).format(m=minute * 10**6, d=day * 10**6, pm=per_minute, pd=per_day)
     return f"""
     , folded AS (
-        SELECT api_key_id, list_reduce(list([{{'at': at, 'id': id}}] ORDER BY at, id), {step}) AS admitted
+        SELECT api_key_id, list_reduce(list([{{'us': us, 'id': id}}] ORDER BY us, id), {step}) AS admitted
         FROM calls GROUP BY api_key_id),
-    admitted AS (SELECT api_key_id, u.at AS at, u.id AS id FROM (SELECT api_key_id, unnest(admitted) AS u FROM folded)),
+    admitted AS (SELECT api_key_id, u.us AS us, u.id AS id FROM (SELECT api_key_id, unnest(admitted) AS u FROM folded)),
     seen AS (
-        SELECT c.api_key_id, c.id, c.created_at, c.at,
+        SELECT c.api_key_id, c.id, c.created_at, c.us,
                max(CASE WHEN a.id = c.id THEN 1 ELSE 0 END) = 1 AS allowed,
-               count(a.id) FILTER (WHERE a.at > c.at - {minute * 10**6} AND (a.at, a.id) < (c.at, c.id)) AS in_minute,
-               min(a.at) FILTER (WHERE a.at > c.at - {minute * 10**6} AND (a.at, a.id) < (c.at, c.id)) AS oldest
-        FROM calls c LEFT JOIN admitted a ON a.api_key_id = c.api_key_id AND (a.at, a.id) <= (c.at, c.id)
+               count(a.id) FILTER (WHERE a.us > c.us - {minute * 10**6} AND (a.us, a.id) < (c.us, c.id)) AS in_minute,
+               min(a.us) FILTER (WHERE a.us > c.us - {minute * 10**6} AND (a.us, a.id) < (c.us, c.id)) AS oldest
+        FROM calls c LEFT JOIN admitted a ON a.api_key_id = c.api_key_id AND (a.us, a.id) <= (c.us, c.id)
         GROUP BY ALL),
     reset AS (
         SELECT *, CASE WHEN NOT allowed AND in_minute >= {per_minute} THEN oldest + {minute * 10**6}
-                       ELSE at + {minute * 10**6} END // 1000000 AS reset_at
+                       ELSE us + {minute * 10**6} END // 1000000 AS reset_at
         FROM seen)
     SELECT api_key_id, id, created_at, allowed,
            CAST(CASE WHEN allowed THEN {per_minute} - in_minute - 1 ELSE 0 END AS INTEGER) AS remaining, reset_at,
-           CAST(CASE WHEN allowed THEN 0 ELSE greatest(reset_at - at // 1000000, 1) END AS INTEGER) AS retry_after
+           CAST(CASE WHEN allowed THEN 0 ELSE greatest(reset_at - us // 1000000, 1) END AS INTEGER) AS retry_after
     FROM reset"""
 
 
@@ -329,8 +329,8 @@ QUERIES = {
         WHERE key_hash NOT IN (SELECT key_hash FROM api_keys)""",
     "offered_load": """
         SELECT id, api_key_id,
-               count(*) OVER (PARTITION BY api_key_id ORDER BY at RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS last_minute,
-               count(*) OVER (PARTITION BY api_key_id ORDER BY at RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS last_day
+               count(*) OVER (PARTITION BY api_key_id ORDER BY us RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS last_minute,
+               count(*) OVER (PARTITION BY api_key_id ORDER BY us RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS last_day
         FROM calls""",
     "rate_limit_audit": _limiter(1, 5, 3600, 86400),
     "rate_limit_defaults": _limiter(60, 5000, 60, 86400),

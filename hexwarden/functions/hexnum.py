@@ -54,13 +54,16 @@ def wei_to_eth(wei: Column) -> Column:
     return F.concat(whole, F.lit("."), part).cast("double")
 
 
-def gas_amount(receipt_gas: Column, gas_limit: Column) -> Column:
-    """Gas used from the receipt, else the limit. Text without a ``0x`` is a JSON number: kept as it is."""
-    missing = receipt_gas.isNull() | receipt_gas.isin("", "0")
-    text = F.when(missing, gas_limit).otherwise(receipt_gas)
+def gas_amount(text: Column) -> Column:
+    """Gas as bigint. Text without a ``0x`` is a JSON number: kept as it is."""
     return F.when(text.rlike(r"^[0-9]+\z"), text.try_cast("bigint")).otherwise(hex_to_long(text))
 
 
+def is_given(text: Column) -> Column:
+    """Neither null, nor empty, nor the JSON number 0."""
+    return text.isNotNull() & ~text.isin("", "0")
+
+
 def is_undecodable(source: Column, decoded: Column) -> Column:
     """True where a text was given but no number came out: such rows belong in quarantine."""
     return source.isNotNull() & (source != "") & decoded.isNull()

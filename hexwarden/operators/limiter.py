@@ -163,9 +163,12 @@ def audit(
         tie_break=ident,
         sequence="position",
     )
-    loads.select(key, ident, F.unix_micros(time).alias("at"), "minute_load", "day_load", "position").write.parquet(
-        f"{folder}/loads"
-    )
+    piece = F.floor((F.col("position") - 1) / piece_rows)
+    at = F.unix_micros(time).alias("at")
+    # A folder per piece: each wave reads its own.
+    loads.select(key, ident, at, "minute_load", "day_load", "position", piece.alias("piece")).write.partitionBy(
+        "piece"
+    ).parquet(f"{folder}/loads")
     loads = spark.read.parquet(f"{folder}/loads")
     over = (F.col("minute_load") > limits.per_minute) | (F.col("day_load") > limits.per_day)
     contested = loads.groupBy(key).agg(F.max(over).alias("_over"), F.max("position").alias("_calls")).filter("_over")
@@ -185,7 +188,7 @@ def audit(
     )
 
     pieces = loads.join(contested.select(key), key, "left_semi").select(
-        key, ident, "at", F.lit(_CALL).alias("kind"), F.floor((F.col("position") - 1) / piece_rows).alias("piece")
+        key, ident, "at", F.lit(_CALL).alias("kind"), "piece"
     )
     key_type, ident_type = calls.schema[key].dataType.simpleString(), calls.schema[ident].dataType.simpleString()
     schema = (

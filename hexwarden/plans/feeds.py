@@ -127,13 +127,10 @@ def recent_alerts(
     count = clamp(limit, ALERTS_MAX)
     order = newest(alerts, "created_at")
     if keys_enforced:
-        alerts = alerts.orderBy(*order).limit(count)
+        # At most 500 rows.
+        alerts = F.broadcast(alerts.orderBy(*order).limit(count))
     hashes = transactions.select(F.col("id").alias("transaction_id"), "tx_hash", "protocol_id")
     names = protocols.select(F.col("id").alias("protocol_id"), F.col("name").alias("protocol_name"))
-    if keys_enforced:
-        # At most 500 rows.
-        hashes = hashes.join(F.broadcast(alerts.select("transaction_id")), "transaction_id", "left_semi")
-        alerts = F.broadcast(alerts)
     return (
         hashes.join(alerts, "transaction_id")
         .join(names, "protocol_id")

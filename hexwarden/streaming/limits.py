@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from hexwarden.operators.limiter import KeyReplay, Limits
+from hexwarden.session import SETTINGS
 
 
 class LimiterProcessor(StatefulProcessor):
@@ -37,7 +38,12 @@ class LimiterProcessor(StatefulProcessor):
 def limit_stream(
     calls: DataFrame, limits: Limits = Limits(), key: str = "api_key_id", ident: str = "id", time: str = "created_at"
 ) -> DataFrame:
-    """Decisions on a stream of calls that arrives in order of time (within a micro-batch in any order)."""
+    """Decisions on a stream of calls that arrives in order of time (within a micro-batch in any order).
+
+    This kind of state needs the RocksDB store, which is chosen for the session.
+    """
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    calls.sparkSession.conf.set(provider, SETTINGS[provider])
     types = {c: calls.schema[c].dataType.simpleString() for c in (key, ident)}
     schema = (
         f"{key} {types[key]}, {ident} {types[ident]}, at bigint, allowed boolean, "
