@@ -1,0 +1,178 @@
+"""Column expressions against plain Python."""
+
+import html
+import random
+from datetime import datetime, timezone
+from decimal import ROUND_HALF_UP, Decimal
+
+from pyspark.sql import functions as F
+
+from hexwarden.functions import clock, hexnum, risk, routes, rules, texts
+from hexwarden.operators.matching import decode, with_receipts
+from hexwarden import schemas
+
+
+def test_hex_to_long(evaluate):
+    cases = {
+        "0x10": 16, "10": 16, "0x0": 0, "0x": None, "": None, None: None, "0xZZ": None, "0x10x": None,
+        "0X1f": 31, "0x7fffffffffffffff": 2**63 - 1, "0x8000000000000000": None, "0xffffffffffffffff": None,
+        "0x0000000000000000000010": 16, "0x10\n": None,
+    }
+    got = evaluate(lambda: hexnum.hex_to_long(F.col("t")), "t string", [(t,) for t in cases])
+    assert got == list(cases.values())
+
+
+def test_wei_and_eth_are_exact(evaluate):
+    rng = random.Random(7)
+    numbers = [0, 1, 10**18, 2**64 - 1, 2**64, 2**64 + 1, 10**38 - 1]
+    numbers += [rng.randrange(10 ** rng.randrange(1, 31)) for _ in range(2000)]
+    rows = [(hex(n),) for n in numbers]
+    wei = evaluate(lambda: hexnum.hex_to_wei(F.col("t")), "t string", rows)
+    assert [int(w) for w in wei] == numbers
+    eth = evaluate(lambda: hexnum.wei_to_eth(hexnum.hex_to_wei(F.col("t"))), "t string", rows)
+    assert eth == [n / 10**18 for n in numbers]
+
+
+def test_wei_beyond_range_is_null_and_flagged(evaluate):
+    rows = [("0x" + "f" * 32,), ("0x1" + "0" * 32,), (hex(10**38),), ("junk",), ("",), (None,)]
+    assert evaluate(lambda: hexnum.hex_to_wei(F.col("t")), "t string", rows) == [None] * 6
+    flags = evaluate(lambda: hexnum.is_undecodable(F.col("t"), hexnum.hex_to_wei(F.col("t"))), "t string", rows)
+    assert flags == [True] * 4 + [False] * 2
+
+
+def test_or_default(evaluate):
+    assert evaluate(lambda: hexnum.or_default(F.col("t"), "d"), "t string", [("",), (None,), ("x",)]) == ["d", "d", "x"]
+    assert evaluate(lambda: hexnum.or_default(F.col("n"), 9), "n int", [(0,), (None,), (3,)]) == [9, 9, 3]
+
+
+def _decode(spark, raw, receipts=()):
+    df = spark.createDataFrame(raw, schemas.RAW_TRANSACTION)
+    return decode(with_receipts(df, spark.createDataFrame(list(receipts), schemas.RECEIPT))).collect()
+
+
+def test_decode_known_transaction(spark):
+    raw = [("0xabc", "0x1", "0xfrom", "0xto", "0xde0b6b3a7640000", None, "0x1234")]
+    (row,) = _decode(spark, raw, [("0xabc", "0x5208", "0x1"), ("0xabc", "0x5208", "0x1")])
+    assert (row.value_eth, row.gas_used, row.block_number, row.quarantined) == (1.0, 21000, 1, False)
+
+
+def test_decode_cuts_input_and_uses_gas_limit(spark):
+    raw = [
+        ("0x1", "0x1", "a", "b", "0x0", "0x5300", "0x" + "a" * 600),
+        ("0x2", None, "a", None, None, "21000", None),
+        ("0x3", "0x1", "a", "b", "0xzz", None, ""),
+        ("0x4", "0x1", "a", "b", "0x1", "0x1", ""),
+    ]
+    rows = {r.tx_hash: r for r in _decode(spark, raw, [("0x2", "", "0x1"), ("0x4", "0xgg", "0x1")])}
+    assert len(rows["0x1"].input_data) == 500 and rows["0x1"].gas_used == 0x5300
+    assert (rows["0x2"].block_number, rows["0x2"].value_eth, rows["0x2"].gas_used) == (0, 0.0, 21000)
+    assert rows["0x2"].input_data == "" and not rows["0x2"].quarantined
+    assert rows["0x3"].quarantined and rows["0x3"].value_eth is None
+    assert rows["0x4"].quarantined and rows["0x4"].gas_used is None
+
+
+def test_unfence(evaluate):
+    cases = {
+        "```json\n{1}\n```": "{1}", "say ```{2}``` and ```{3}```": "{2}", " \n{4}\t ": "{4}", "```\na\nb```": "a\nb",
+        "```open": "```open", "": "",
+    }
+    assert evaluate(lambda: texts.unfence(F.col("t")), "t string", [(t,) for t in cases]) == list(cases.values())
+
+
+def test_shorten_and_masks(evaluate):
+    tx = "0x" + "ab" * 32
+    rows = [(tx,), ("",), (None,), ("short",), ("x" * 18,)]
+    assert evaluate(lambda: texts.shorten(F.col("t")), "t string", rows) == [
+        tx[:10] + "..." + tx[-6:], "—", "—", "short...short", "x" * 10 + "..." + "x" * 6,
+    ]
+    assert evaluate(lambda: texts.shorten(F.col("t"), keep_upto=18), "t string", rows)[3:] == ["short", "x" * 18]
+    assert evaluate(lambda: texts.mask_key(F.col("t")), "t string", rows)[0] == tx[:9] + "..." + tx[-6:]
+    assert evaluate(lambda: texts.log_hash(F.col("t")), "t string", rows)[0] == tx[:18]
+
+
+def test_fixed_decimals_round_the_exact_value(evaluate):
+    rng = random.Random(3)
+    values = [0.0, 0.0005, 1.0005, 2.5, 0.0625, 0.1875, 112.9465, 999.9999999, 123456789.123456, 1e-12, 0.999996]
+    values += [round(rng.uniform(0, 10**rng.randrange(0, 7)), rng.randrange(3, 8)) for _ in range(2000)]
+    for places in (3, 5):
+        want = [str(Decimal(v).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP)) for v in values]
+        got = evaluate(lambda: texts.fixed_decimals(F.col("v"), places), "v double", [(v,) for v in values])
+        assert got == want
+    assert evaluate(lambda: texts.fixed_decimals(F.col("v"), 3), "v double", [(None,)]) == ["0.000"]
+
+
+def test_escape_html_and_message(evaluate):
+    rows = [("a<b>&'\"c",), ("&amp;",)]
+    assert evaluate(lambda: texts.escape_html(F.col("t")), "t string", rows) == [html.escape(r[0]) for r in rows]
+    (text,) = evaluate(
+        lambda: texts.alert_message(F.col("n"), F.col("s"), F.col("h")), "n string, s int, h string", [(None, 90, "0x<")]
+    )
+    assert "Unknown" in text and "<code>90</code>" in text and "0x&lt;" in text
+
+
+def test_scoring_request_has_no_null(evaluate):
+    columns = "a string, b string, c string, d string, e string, f double, g bigint, h string, i2 bigint"
+    names = ["a", "b", "c", "d", "e", "f", "g", "h", "i2"]
+    (text,) = evaluate(lambda: texts.scoring_request(*[F.col(n) for n in names]), columns, [(None,) * 9])
+    assert text.count("unknown") == 8 and text.count("\n") == 7
+
+
+def test_domain_and_alert_text(evaluate):
+    assert evaluate(lambda: texts.email_domain(F.col("t")), "t string", [("a@b.c",), ("x@y@z",)]) == ["b.c", "z"]
+    rows = [("",), (None,), ("seen",)]
+    assert evaluate(lambda: texts.alert_text(F.col("t")), "t string", rows) == [texts.DEFAULT_ALERT_TEXT] * 2 + ["seen"]
+
+
+def test_bands(evaluate):
+    scores = [None, -5, 0, 30, 31, 60, 61, 70, 71, 100, 140]
+    want = ["PENDING", "LOW", "LOW", "LOW", "MEDIUM", "MEDIUM", "ELEVATED", "ELEVATED", "HIGH", "HIGH", "HIGH"]
+    assert evaluate(lambda: risk.risk_band(F.col("s")), "s int", [(s,) for s in scores]) == want
+    assert evaluate(lambda: risk.is_alert(F.col("s")), "s int", [(69,), (70,), (71,)]) == [False, True, True]
+
+
+def test_address_and_email_rules(evaluate):
+    good = "0x" + "aB" * 20
+    rows = [(good,), (good + "\n",), ("0x123",), (good[2:],), (None,), (good[:-1] + "g",)]
+    assert evaluate(lambda: rules.is_address(F.col("t")), "t string", rows) == [True] + [False] * 5
+    rows = [("a@b.co",), ("a@b",), ("a b@c.d",), ("@b.c",), ("a@b.c\n",), (None,), ("a@b..c",), ("A.x+1@Sub.b.c",)]
+    assert evaluate(lambda: rules.is_email(F.col("t")), "t string", rows) == [True] + [False] * 6 + [True]
+
+
+def test_field_errors(evaluate):
+    good = "0x" + "1" * 40
+    rows = [("n", good), ("", good), (None, good), ("n" * 121, "0x1"), ("n" * 120, good)]
+    got = evaluate(lambda: rules.protocol_errors(F.col("n"), F.col("a")), "n string, a string", rows)
+    assert got == [[], ["name"], ["name"], ["name", "address"], []]
+    fields = {c: F.col(c) for c in ("name", "project", "twitter", "goal")}
+    rows = [("a@b.c", None, None, None, None), ("a@b.c", "n" * 121, "p" * 161, "t" * 81, "g" * 1001), ("x", "n", "", "t", "g")]
+    got = evaluate(
+        lambda: rules.application_errors(F.col("e"), fields), "e string, name string, project string, twitter string, goal string", rows
+    )
+    assert got == [[], ["name", "project", "twitter", "goal"], ["email"]]
+
+
+def test_relative_age(evaluate):
+    as_of = "2024-01-02 00:00:00"
+    cases = {
+        "2024-01-01 23:59:59.5": "0s ago", "2024-01-01 23:59:00.5": "59s ago", "2024-01-01 23:59:00": "1m ago",
+        "2024-01-01 23:00:01": "59m ago", "2024-01-01 23:00:00": "1h ago", "2023-12-30 00:00:00": "72h ago",
+        "2024-01-03 00:00:00": "0s ago", None: "—",
+    }
+    got = evaluate(lambda: clock.relative_age(F.col("t").cast("timestamp"), as_of), "t string", [(t,) for t in cases])
+    assert got == list(cases.values())
+
+
+def test_clock_takes_text_and_datetimes(spark):
+    zone = datetime(2024, 1, 1, 12, tzinfo=timezone.utc)
+    columns = [clock.as_of_column(c).cast("string") for c in ("2024-01-01 12:00:00", datetime(2024, 1, 1, 12), zone)]
+    assert set(spark.range(1).select(*columns).first()) == {"2024-01-01 12:00:00"}
+    days = [r.day.isoformat() for r in clock.calendar(spark, "2024-03-02 23:00:00", 3).orderBy("day").collect()]
+    assert days == ["2024-02-29", "2024-03-01", "2024-03-02"]
+
+
+def test_routes(evaluate):
+    cases = {
+        "/api/index": "/api/health", "/api/index.py": "/api/health", "/api/index/alerts": "/api/alerts",
+        "/api/index.py/alerts/stats": "/api/alerts/stats", "/api/indexes": "/api/indexes", "/api/x/index/y": "/api/x/index/y",
+    }
+    assert evaluate(lambda: routes.clean_route(F.col("t")), "t string", [(t,) for t in cases]) == list(cases.values())
