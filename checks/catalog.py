@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from checks import views as v
 from checks.oracles import ALERTS_AS_OF, FEED_AS_OF, LOG_AS_OF
 from hexwarden import schemas
+from hexwarden.functions.answers import parse_answers
 from hexwarden.operators import (
     alerts as alert_ops,
     ingest,
@@ -24,7 +25,7 @@ from hexwarden.operators.ids import highest_id
 from hexwarden.plans import feeds, requests, stats
 from hexwarden.sources import chain, eventlog, tables
 from hexwarden.streaming import ingest as stream_ingest, limits as stream_limits
-from hexwarden.workspace import run_dir
+from hexwarden.workspace import run_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,8 +128,9 @@ def key_lookup(spark, sf):
 
 @query
 def waitlist_lookup(spark, sf):
-    rows = feeds.waitlist_by_email(v.waitlist(spark, sf), "CUSTOMER#000000007@MACHINERY.EXAMPLE")
-    return rows.select("id", "email", "status")
+    applications = v.waitlist(spark, sf)
+    wanted = applications.filter("id = 7").select(F.upper("email")).scalar()
+    return feeds.waitlist_by_email(applications, wanted).select("id", "email", "status")
 
 
 @query
@@ -418,13 +420,13 @@ def _resolved(spark, sf):
 
 def _answered(spark, sf):
     """Scores of the transactions that got an answer."""
-    parsed = scoring.with_fallback(scoring.parse_answers(v.score_answers(spark, sf)))
+    parsed = scoring.with_fallback(parse_answers(v.score_answers(spark, sf)))
     return parsed.select("tx_hash", "risk_score", "risk_summary", "risk_factors")
 
 
 @query
 def parse_scores(spark, sf):
-    parsed = scoring.with_fallback(scoring.parse_answers(v.score_answers(spark, sf)))
+    parsed = scoring.with_fallback(parse_answers(v.score_answers(spark, sf)))
     return _factors_as_text(parsed.select("id", "tx_hash", "risk_score", "risk_summary", "risk_factors"))
 
 
@@ -477,6 +479,7 @@ def rule_scores(spark, sf):
 def new_alerts(spark, sf):
     unscored = v.transactions(spark, sf).filter("risk_score IS NULL").select("id", "tx_hash")
     scored = unscored.join(_answered(spark, sf), "tx_hash").select("id", "risk_score", "risk_summary")
+    scored = written(scored, "scored")
     return alert_ops.new_alerts(scored, highest_id(v.alerts(spark, sf)), as_of=ALERTS_AS_OF)
 
 

@@ -118,8 +118,8 @@ VIEWS = {
     "registrations": """
         SELECT c_custkey AS request_id, CASE WHEN c_custkey % 13 = 0 THEN '' ELSE c_name END AS name,
                CASE WHEN c_mktsegment = 'MACHINERY' THEN '0x123'
-                    WHEN c_custkey % 2 = 0 THEN '0x' || upper(lpad(hex(c_custkey % 700 + 171), 40, '0'))
-                    ELSE '0x' || lower(lpad(hex(c_custkey % 700 + 171), 40, '0')) END AS address
+                    WHEN c_custkey % 2 = 0 THEN '0x' || upper(lpad(hex(c_custkey - c_custkey % 3 + 171), 40, '0'))
+                    ELSE '0x' || lower(lpad(hex(c_custkey - c_custkey % 3 + 171), 40, '0')) END AS address
         FROM customer""",
     "registration_outcomes": """
         SELECT r.*, CASE WHEN NOT valid THEN 'invalid'
@@ -259,7 +259,7 @@ QUERIES = {
     "protocol_lookup": f"SELECT {_PROTOCOL_COLUMNS} FROM protocols WHERE lower(address) = '0x' || lpad('b0', 40, '0')",
     "tx_lookup": f"SELECT {_TX_VIEW} FROM transactions WHERE tx_hash = '0x' || sha256('42')",
     "key_lookup": f"SELECT {_KEY_VIEW} FROM api_keys WHERE key_hash = sha256('key-7') AND is_active",
-    "waitlist_lookup": "SELECT id, email, status FROM waitlist WHERE lower(email) = 'customer#000000007@machinery.example'",
+    "waitlist_lookup": "SELECT id, email, status FROM waitlist WHERE lower(email) = (SELECT lower(email) FROM waitlist WHERE id = 7)",
     "key_list": f"SELECT {_KEY_VIEW} FROM api_keys",
     "top_keys": "SELECT key_prefix, name, requests_today FROM api_keys ORDER BY requests_today DESC, id LIMIT 10",
     "waitlist_list": "SELECT * FROM waitlist",
@@ -325,7 +325,7 @@ QUERIES = {
     "add_keys": f"""
         SELECT (SELECT max(id) FROM api_keys) + row_number() OVER (ORDER BY {_ROW.format(k='key_hash')}) AS id,
                key_hash, left('key-' || n, 9) AS key_prefix, name, true AS is_active, CAST(0 AS BIGINT) AS requests_total
-        FROM (SELECT s_suppkey + 100 AS n, sha256('key-' || (s_suppkey + 100)) AS key_hash, s_name AS name FROM supplier)
+        FROM (SELECT s_suppkey * 3 AS n, sha256('key-' || (s_suppkey * 3)) AS key_hash, s_name AS name FROM supplier)
         WHERE key_hash NOT IN (SELECT key_hash FROM api_keys)""",
     "offered_load": """
         SELECT id, api_key_id,

@@ -198,7 +198,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registration_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses known, new, repeated in another case, and malformed."""
     key = F.col("c_custkey")
-    number = F.lpad(F.hex(key % 700 + 171), 40, "0")
+    number = F.lpad(F.hex(key - key % 3 + 171), 40, "0")
     good = F.concat(F.lit("0x"), F.when(key % 2 == 0, F.upper(number)).otherwise(F.lower(number)))
     return load(spark, sf_dir, "customer").select(
         key.alias("request_id"),
@@ -263,7 +263,7 @@ def presented_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def new_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "supplier").select(
-        F.concat(F.lit("key-"), (F.col("s_suppkey") + 100).cast("string")).alias("api_key"),
+        F.concat(F.lit("key-"), (F.col("s_suppkey") * 3).cast("string")).alias("api_key"),
         F.col("s_name").alias("name"),
     )
 

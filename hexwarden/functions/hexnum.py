@@ -1,17 +1,18 @@
 """Hex text to exact numbers, as column expressions.
 
 Spark's ``conv`` stops silently at a character it does not know (the ``x`` of ``0x10`` included) and
-raises beyond 64 bits, so texts are checked first and wide values are put together from two halves.
+raises beyond 64 bits, so texts are checked first, and wide values are put together from two halves.
 Text that is not hex, or too wide, gives null; ``is_undecodable`` tells that apart from a missing value.
+No regular expressions here: these run on every field of every transaction.
 """
 
 from decimal import Decimal
 
 from pyspark.sql import Column, functions as F
 
-HEX_TEXT = r"^(0[xX])?[0-9a-fA-F]+\z"
 WEI_PLACES = 18
 _TWO_64 = Decimal(2**64)
+_ANY_LENGTH = 2**31 - 1
 
 
 def or_default(value: Column, default) -> Column:
@@ -20,28 +21,32 @@ def or_default(value: Column, default) -> Column:
     return F.coalesce(F.nullif(value, F.lit(empty)), F.lit(default))
 
 
-def _significant(value: Column) -> Column:
-    return F.regexp_replace(value, r"^(0[xX])?0*", "")
+def _padded(value: Column, width: int) -> Column:
+    """The hex digits, zero-padded to ``width``; null if there are none, others, or too many."""
+    prefixed = value.startswith("0x") | value.startswith("0X")
+    digits = F.when(prefixed, F.substring(value, 3, _ANY_LENGTH)).otherwise(value)
+    short = F.ltrim(digits, F.lit("0"))
+    padded = F.lpad(short, width, "0")
+    # unhex gives null for any character that is no hex digit.
+    sound = (digits != "") & (F.length(short) <= width) & F.unhex(padded).isNotNull()
+    return F.when(sound, padded)
 
 
-def _half(digits: Column) -> Column:
-    return F.conv(digits, 16, 10).cast("decimal(20,0)")
+def _number(digits: Column) -> Column:
+    return F.conv(digits, 16, 10)
 
 
 def hex_to_long(value: Column) -> Column:
     """Hex text to bigint; null if not hex or above 2^63-1."""
-    digits = _significant(value)
-    fits = value.rlike(HEX_TEXT) & (F.length(digits) <= 16)
-    return F.when(fits, F.conv(F.lpad(digits, 16, "0"), 16, 10).try_cast("bigint"))
+    return _number(_padded(value, 16)).try_cast("bigint")
 
 
 def hex_to_wei(value: Column) -> Column:
     """Hex text to decimal(38,0), exact; null if not hex or at 10^38 and above."""
-    digits = _significant(value)
-    padded = F.lpad(digits, 32, "0")
-    high, low = _half(F.substring(padded, 1, 16)), _half(F.substring(padded, 17, 16))
-    total = F.try_add(F.try_multiply(high, F.lit(_TWO_64)), low).cast("decimal(38,0)")
-    return F.when(value.rlike(HEX_TEXT) & (F.length(digits) <= 32), total)
+    padded = _padded(value, 32)
+    high = _number(F.substring(padded, 1, 16)).cast("decimal(20,0)")
+    low = _number(F.substring(padded, 17, 16)).cast("decimal(20,0)")
+    return F.try_add(F.try_multiply(high, F.lit(_TWO_64)), low).cast("decimal(38,0)")
 
 
 def wei_to_eth(wei: Column) -> Column:
@@ -56,7 +61,7 @@ def wei_to_eth(wei: Column) -> Column:
 
 def gas_amount(text: Column) -> Column:
     """Gas as bigint. Text without a ``0x`` is a JSON number: kept as it is."""
-    return F.when(text.rlike(r"^[0-9]+\z"), text.try_cast("bigint")).otherwise(hex_to_long(text))
+    return F.coalesce(F.when(~F.lower(text).startswith("0x"), text.try_cast("bigint")), hex_to_long(text))
 
 
 def is_given(text: Column) -> Column:

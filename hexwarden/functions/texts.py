@@ -23,13 +23,14 @@ def cut(value: Column, chars: int) -> Column:
 
 
 def strip(value: Column) -> Column:
-    """Remove all white space at both ends (SQL ``trim`` only removes blanks)."""
-    return F.regexp_replace(value, r"^\s+|\s+\z", "")
+    """Remove all white space at both ends (``trim`` by itself only removes blanks)."""
+    return F.btrim(value, F.lit(" \t\n\r\f\v"))
 
 
 def unfence(value: Column) -> Column:
     """The inside of the first code fence, or the whole text; stripped."""
-    return F.when(value.rlike(FENCE), strip(F.regexp_extract(value, FENCE, 1))).otherwise(strip(value))
+    fenced = value.contains("```") & value.rlike(FENCE)
+    return strip(F.when(fenced, F.regexp_extract(value, FENCE, 1)).otherwise(value))
 
 
 def shorten(value: Column, head: int = 10, tail: int = 6, empty: str = NO_VALUE, keep_upto: int = 0) -> Column:

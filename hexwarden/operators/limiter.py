@@ -94,49 +94,45 @@ class KeyReplay:
         return allowed, remaining, reset, wait
 
 
-def _replay_sorted(limits: Limits, piece_rows: int, columns: tuple[str, str]):
+def _replay_sorted(limits: Limits, piece_rows: int, key: str, ident: str):
     """Function for ``mapInPandas`` over rows sorted by key, kind (carried first), time, id."""
-    key, ident = columns
+
+    def frame(keys, idents, at, kind: int, decisions=None) -> pd.DataFrame:
+        if decisions is None:
+            decisions = [np.zeros(len(at), dtype=t) for t in (bool, np.int32, np.int64, np.int32)]
+        columns = {key: keys, ident: idents, "at": at, "kind": np.full(len(at), kind, dtype=np.int32)}
+        return pd.DataFrame({**columns, **dict(zip(DECISION_COLUMNS, decisions))})
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state, seen = None, KeyReplay(limits), 0
-
-        def carried() -> pd.DataFrame | None:
-            # A full piece may be followed by another one, which starts from the admitted times.
-            if current is None or seen < piece_rows:
-                return None
-            return _rows(np.full(len(state.day), current), np.array(state.day, dtype=np.int64))
-
-        def _rows(keys, at):
-            blank = np.zeros(len(at), dtype=np.int64)
-            return pd.DataFrame(
-                {key: keys, ident: blank, "at": at, "kind": np.full(len(at), _CARRIED, dtype=np.int32),
-                 "allowed": blank.astype(bool), "remaining": blank.astype(np.int32), "reset_at": blank,
-                 "retry_after": blank.astype(np.int32)}
-            )
-
         for pdf in batches:
             keys, at, kinds = pdf[key].to_numpy(), pdf["at"].to_numpy(), pdf["kind"].to_numpy()
+            idents, n = pdf[ident].to_numpy(), len(pdf)
+            decisions = [np.zeros(n, dtype=t) for t in (bool, np.int32, np.int64, np.int32)]
             cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (kinds[1:] != kinds[:-1])) + 1
-            for start, end in zip([0, *cuts], [*cuts, len(pdf)]):
+            for start, end in zip([0, *cuts], [*cuts, n]):
                 if start == end:
                     continue
                 if current is None or keys[start] != current:
-                    left = carried()
-                    if left is not None:
-                        yield left
+                    if seen >= piece_rows:
+                        yield carried(current, state, idents)
                     current, state, seen = keys[start], KeyReplay(limits), 0
                 if kinds[start] == _CARRIED:
                     for one in at[start:end]:
                         state.admit(int(one))
                     continue
-                allowed, remaining, reset, wait = state.run(at[start:end])
+                for column, values in zip(decisions, state.run(at[start:end])):
+                    column[start:end] = values
                 seen += end - start
-                out = pdf.iloc[start:end][[key, ident, "at", "kind"]]
-                yield out.assign(allowed=allowed, remaining=remaining, reset_at=reset, retry_after=wait)
-        left = carried()
-        if left is not None:
-            yield left
+            calls = kinds == _CALL
+            yield frame(keys[calls], idents[calls], at[calls], _CALL, [column[calls] for column in decisions])
+        if seen >= piece_rows:
+            yield carried(current, state, idents)
+
+    def carried(current, state: KeyReplay, idents: np.ndarray) -> pd.DataFrame:
+        # A full piece may be followed by another, which starts from the admitted times.
+        at = np.array(state.day, dtype=np.int64)
+        return frame(np.full(len(at), current), np.resize(idents, len(at)), at, _CARRIED)
 
     return replay
 
@@ -195,7 +191,7 @@ def audit(
         f"{key} {key_type}, {ident} {ident_type}, at bigint, kind int, allowed boolean, "
         "remaining int, reset_at bigint, retry_after int"
     )
-    replay = _replay_sorted(limits, piece_rows, (key, ident))
+    replay = _replay_sorted(limits, piece_rows, key, ident)
     result, before = free, None
     for wave in range(waves):
         rows = pieces.filter(F.col("piece") == wave).drop("piece")

@@ -46,11 +46,15 @@ def protocol_by_id(protocols: DataFrame, protocol_id: int) -> DataFrame:
     return protocols.filter(F.col("id") == protocol_id)
 
 
-def protocol_by_address(protocols: DataFrame, address: str) -> DataFrame:
+def _same_text(df: DataFrame, name: str, wanted: str | Column) -> Column:
+    stored = F.col(f"{name}_lc") if f"{name}_lc" in df.columns else F.lower(name)
+    return stored == F.lower(F.lit(wanted) if isinstance(wanted, str) else wanted)
+
+
+def protocol_by_address(protocols: DataFrame, address: str | Column) -> DataFrame:
     """Lookup without regard to case. A stored ``address_lc`` column is used if there is one, as the
     comparison then reaches the Parquet scan."""
-    stored = F.col("address_lc") if "address_lc" in protocols.columns else F.lower("address")
-    return protocols.filter(stored == address.lower())
+    return protocols.filter(_same_text(protocols, "address", address))
 
 
 def shown_protocol(protocols: DataFrame) -> DataFrame:
@@ -196,7 +200,6 @@ def waitlist_list(waitlist: DataFrame) -> DataFrame:
     return waitlist.select(*WAITLIST_VIEW).orderBy(*newest(waitlist, "applied_at"))
 
 
-def waitlist_by_email(waitlist: DataFrame, email: str) -> DataFrame:
-    """Lookup without regard to case."""
-    stored = F.col("email_lc") if "email_lc" in waitlist.columns else F.lower("email")
-    return waitlist.filter(stored == email.lower())
+def waitlist_by_email(waitlist: DataFrame, email: str | Column) -> DataFrame:
+    """Lookup without regard to case, by ``email_lc`` if there is one."""
+    return waitlist.filter(_same_text(waitlist, "email", email))

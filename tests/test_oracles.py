@@ -9,8 +9,8 @@ from checks.catalog import QUERIES
 from checks.oracles import oracle_sql
 
 SF = "/root/testdata/sf0.001"
-# The lookups by a fixed value of the 0.01 tables find nothing here.
-MAY_BE_EMPTY = {"waitlist_lookup", "key_lookup", "window_transactions", "backfill_new_protocol", "poll_windows"}
+# Ten protocols only: hardly any block lies in a poll window.
+MAY_BE_EMPTY = {"window_transactions", "backfill_new_protocol", "poll_windows"}
 
 
 @pytest.fixture(scope="module")
