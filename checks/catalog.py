@@ -569,7 +569,7 @@ def run_monitor(spark, sf) -> str:
     job = stream_ingest.MonitorJob(
         root=root,
         registry=lambda session: v.protocols(session, sf),
-        receipts=lambda first, last: received,
+        receipts=lambda first, last: chain.receipts_between(received, first, last),
         provider=lambda wanted: answers.join(wanted.select("tx_hash"), "tx_hash", "left_semi"),
         as_of=LOG_AS_OF,
     )

@@ -4,4 +4,11 @@ Every operator is a function from DataFrames to a DataFrame. Nothing here collec
 driver; the clock, thresholds and limits are arguments.
 """
 
+import sys
+
+from pyspark.cloudpickle import register_pickle_by_value
+
 __version__ = "0.1.0"
+
+# The few Python functions that run in tasks travel with the job: executors need not have this package.
+register_pickle_by_value(sys.modules[__name__])

@@ -32,7 +32,7 @@ REORG_BLOCKS = 10_000
 
 OUTBOX = "outbox"
 RUNS = "runs"
-STAGED = "staged"
+STAGED, NUMBERED = "staged", "numbered"
 
 
 @dataclass
@@ -96,7 +96,7 @@ class MonitorJob:
         known = self.stored(spark, staged, batch_id, ends)
         fresh = ingest.absent_from(staged, known, "tx_hash", batch_rows=size)
         base = F.lit(batch_id * IDS_PER_BATCH).cast("bigint")
-        rows = with_dense_ids(ingest.transaction_rows(fresh, self.as_of), "tx_hash", base)
+        rows = self._new_rows(with_dense_ids(ingest.transaction_rows(fresh, self.as_of), "tx_hash", base), batch_id)
         registry = self.registry(spark)
         if self.provider is None:
             scores = rule_scores(rows)
@@ -111,6 +111,12 @@ class MonitorJob:
         alerts = tables.read_table(spark, self.root, "alerts", partitions=[f"batch_id={batch_id}"])
         tables.write_batch(alert_ops.outbox(alerts, written, registry), self.root, OUTBOX, batch_id)
 
+    def _new_rows(self, rows: DataFrame, batch_id: int) -> DataFrame:
+        """Write the numbered rows: scoring asks for them several times."""
+        path = f"{tables.table_path(self.root, NUMBERED)}/batch_id={batch_id}"
+        rows.write.mode("overwrite").parquet(path)
+        return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
     def _written(self, spark: SparkSession, name: str, batch_id: int, ends: tuple) -> DataFrame:
         first, last = (end // tables.BLOCKS_PER_GROUP for end in ends)
         parts = [f"block_group={group}/batch_id={batch_id}" for group in range(first, last + 1)]
