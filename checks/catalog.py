@@ -10,6 +10,7 @@ from hexwarden import schemas
 from hexwarden.functions.answers import parse_answers
 from hexwarden.operators import (
     alerts as alert_ops,
+    events,
     ingest,
     keys,
     limiter,
@@ -493,6 +494,12 @@ def mark_delivered(spark, sf):
     return alert_ops.mark_delivered(v.alerts(spark, sf), v.deliveries(spark, sf)).select("id", "telegram_sent")
 
 
+@query
+def monitor_events(spark, sf):
+    scored = v.transactions(spark, sf).withColumn("scored_at", F.when(F.col("risk_score") >= 50, F.col("fetched_at")))
+    return events.monitor_events(scored, v.alerts(spark, sf), v.protocols(spark, sf))
+
+
 # Registries
 
 

@@ -410,6 +410,15 @@ QUERIES = {
         WHERE NOT a.telegram_sent""",
     "mark_delivered": """
         SELECT id, telegram_sent OR id IN (SELECT event_id FROM events WHERE event_type = 'purchase') AS telegram_sent FROM alerts""",
+    "monitor_events": """
+        SELECT '{"ts":"' || strftime(t.fetched_at, '%Y-%m-%dT%H:%M:%SZ') || '","level":"INFO","service":"hexwarden","event":"'
+               || CASE k WHEN 0 THEN 'transaction.fetched' WHEN 1 THEN 'transaction.scored' ELSE 'alert.created' END || '",'
+               || CASE WHEN k < 2 THEN '"protocol":"' || p.name || '","tx_hash":"' || left(t.tx_hash, 18)
+                            || CASE k WHEN 0 THEN '","block_number":' || t.block_number ELSE '","risk_score":' || t.risk_score END
+                       ELSE '"alert_id":' || t.id || ',"risk_score":' || t.risk_score || ',"tx_hash":"' || left(t.tx_hash, 18) || '"' END
+               || '}' AS line
+        FROM transactions t JOIN protocols p ON p.id = t.protocol_id, (SELECT unnest([0, 1, 2]) AS k)
+        WHERE k = 0 OR (k = 1 AND t.risk_score >= 50) OR (k = 2 AND t.risk_score >= 70)""",
     # Registries
     "protocol_registration": "SELECT request_id, address, outcome FROM registration_outcomes",
     "register_protocols": f"""

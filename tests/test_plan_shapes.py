@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import catalog, views
-from hexwarden.operators import ingest
+from hexwarden.operators import ingest, matching
 from hexwarden.plans import stats
 
 SF = "/root/testdata/sf0.001"
@@ -78,3 +78,34 @@ def test_small_batches_do_not_shuffle_the_table(spark, tmp_path):
 def test_scans_read_only_needed_columns(spark):
     text = plan(catalog.QUERIES["risk_histogram"](spark, SF))
     assert "ReadSchema: struct<o_orderkey:bigint>" in text
+
+
+def test_busy_address_is_split_when_the_registry_is_not_broadcast(spark):
+    """One address in half of all rows: adaptive execution cuts its partition, and no row is lost."""
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+    }
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        raw = spark.range(0, 100_000, numPartitions=8).select(
+            F.concat(F.lit("h"), F.sha2(F.col("id").cast("string"), 256)).alias("hash"),
+            F.when(F.col("id") % 2 == 0, "0xhot").otherwise(F.concat(F.lit("0x"), F.col("id") % 900)).alias("to"),
+            F.lit(None).cast("string").alias("from"),
+            F.lit("").alias("input"),
+        )
+        watched = spark.range(900).select("id", F.concat(F.lit("0x"), "id").alias("address"))
+        watched = watched.union(spark.sql("SELECT 1000L, '0xHOT'")).withColumn("created_at", F.current_timestamp())
+        df = matching.match(raw, watched)
+        assert df.count() == 100_000
+        df.write.format("noop").mode("overwrite").save()
+        counted = df.select("hash", "protocol_id")
+        counted.collect()
+        assert "skew=true" in counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in small:
+            spark.conf.unset(key)

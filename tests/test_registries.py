@@ -135,7 +135,7 @@ def test_revoke_and_add(spark):
     gone = spark.createDataFrame([(1,), (1,), (9,)], "key_id bigint")
     assert {r.id: r.is_active for r in keys.revoke_keys(_keys(spark), gone).collect()} == {1: False, 2: True, 3: False}
     assert {r.key_id: r.found for r in keys.revocation_outcomes(_keys(spark), gone).collect()} == {1: True, 9: False}
-    batch = spark.createDataFrame([("key-1", "again"), ("tals_0123456789", "new"), ("tals_0123456789", "new")], "api_key string, name string")
+    batch = spark.createDataFrame([("key-1", "again"), ("key_0123456789", "new"), ("key_0123456789", "new")], "api_key string, name string")
     (row,) = keys.add_keys(batch, _keys(spark), "2024-02-02 00:00:00").collect()
-    assert (row.id, row.key_prefix, row.name, row.requests_total) == (4, "tals_0123", "new", 0)
-    assert row.key_hash == hashlib.sha256(b"tals_0123456789").hexdigest()
+    assert (row.id, row.key_prefix, row.name, row.requests_total) == (4, "key_01234", "new", 0)
+    assert row.key_hash == hashlib.sha256(b"key_0123456789").hexdigest()

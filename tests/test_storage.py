@@ -86,3 +86,44 @@ def test_event_log_round_trip(spark, tmp_path):
     assert events.filter("event = 'x'").select(eventlog.event_field("deep.k[0]", "int").alias("k")).first().k == 7
     assert events.filter("fields IS NULL").first().raw == "not json"
     assert events.filter(eventlog.event_field("n", "int") == 2).first().ts.microsecond == 50000
+
+
+def test_lookup_columns_have_bloom_filters(spark, tmp_path):
+    rows = [(n, f"0x{n:064x}", n) for n in range(2000)]
+    tables.write_batch(_transactions(spark, rows), str(tmp_path), "transactions", 0)
+    (sample, *_) = (tmp_path / "transactions").rglob("*.parquet")
+    found = tables.read_table(spark, str(tmp_path), "transactions").filter(F.col("tx_hash") == rows[7][1])
+    assert [r.id for r in found.collect()] == [7]
+    assert "EqualTo(tx_hash" in found._jdf.queryExecution().executedPlan().toString()
+    reader = spark._jvm.org.apache.parquet.hadoop.ParquetFileReader.open(
+        spark._jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(
+            spark._jvm.org.apache.hadoop.fs.Path(str(sample)), spark._jsc.hadoopConfiguration()
+        )
+    )
+    columns = reader.getFooter().getBlocks().get(0).getColumns()
+    with_filter = {c.getPath().toDotString() for c in columns if c.getBloomFilterOffset() > 0}
+    reader.close()
+    assert with_filter == {"tx_hash"}
+
+
+def test_poll_events(spark):
+    from hexwarden.operators.events import poll_events
+
+    runs = spark.createDataFrame([(0, 1, 5, 5, 3, 7, 2, 40)], schemas.RUNS)
+    (row,) = poll_events(runs, F.lit("2024-01-01").cast("timestamp")).collect()
+    assert json.loads(row.line)["transactions_found"] == 7
+
+
+def test_receipts_of_a_block_range(spark, tmp_path):
+    step = tables.BLOCKS_PER_GROUP
+    for group, number in ((0, 7), (0, 9), (2, 2 * step)):
+        folder = tmp_path / f"block_group={group}"
+        folder.mkdir(exist_ok=True)
+        receipt = {"transactionHash": f"h{number}", "gasUsed": "0x1", "blockNumber": hex(number)}
+        (folder / f"{number}.json").write_text(json.dumps(receipt))
+    receipts = chain.read_receipts(spark, str(tmp_path))
+    assert "block_group" in receipts.columns
+    got = chain.receipts_between(receipts, 8, 9)
+    assert [r.transactionHash for r in got.collect()] == ["h9"]
+    assert "PartitionFilters: [isnotnull(block_group" in got._jdf.queryExecution().executedPlan().toString()
+    assert chain.receipts_between(receipts.drop("block_group"), 7, 2 * step).count() == 3
