@@ -159,7 +159,7 @@ def audit(
         tie_break=ident,
         sequence="position",
     )
-    piece = F.floor((F.col("position") - 1) / piece_rows)
+    piece = F.call_function("div", F.col("position") - 1, F.lit(piece_rows))
     at = F.unix_micros(time).alias("at")
     # A folder per piece: each wave reads its own.
     loads.select(key, ident, at, "minute_load", "day_load", "position", piece.alias("piece")).write.partitionBy(
@@ -179,7 +179,7 @@ def audit(
         "at",
         F.lit(True).alias("allowed"),
         (F.lit(limits.per_minute) - F.col("minute_load")).cast("int").alias("remaining"),
-        F.floor((F.col("at") + F.lit(span)) / F.lit(MICROS)).alias("reset_at"),
+        F.call_function("div", F.col("at") + F.lit(span), F.lit(MICROS)).alias("reset_at"),
         F.lit(0).alias("retry_after"),
     )
 

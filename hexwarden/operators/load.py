@@ -63,7 +63,7 @@ def offered_load(
         .withColumn("_step", F.explode(F.array(*steps)))
         .select("*", "_step._kind", "_step._at")
         .drop("_step")
-        .withColumn("_slot", F.floor(F.col("_at") / F.lit(slot_seconds * MICROS)))
+        .withColumn("_slot", F.call_function("div", F.col("_at"), F.lit(slot_seconds * MICROS)))
     )
     kind = F.col("_kind")
     values = {

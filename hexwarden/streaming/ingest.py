@@ -53,50 +53,53 @@ class MonitorJob:
     look_back_blocks: int | None = REORG_BLOCKS
     as_of: AsOf = None
 
-    def stage(self, blocks: DataFrame, batch_id: int) -> None:
-        """Write the decoded matches of the batch, one row per transaction, unless that was done before."""
+    def stage(self, blocks: DataFrame, batch_id: int, ends: tuple) -> DataFrame:
+        """Decoded matches of the batch, one row per transaction; written unless that was done before."""
         spark = blocks.sparkSession
         path = f"{tables.table_path(self.root, STAGED)}/batch_id={batch_id}"
-        if tables.path_exists(spark, f"{path}/_SUCCESS"):
-            return
-        active = self.registry(spark).filter("is_active")
-        number = hex_to_long(F.col("blockNumber"))
-        matched = matching.match(chain.block_transactions(blocks), active)
-        rows = ingest.first_writer(matched, "hash", number)
-        if self.receipts is not None:
-            ends = blocks.select(hex_to_long(F.col("number")).alias("n")).agg(F.min("n"), F.max("n")).first()
-            if ends[0] is not None:
+        if not tables.path_exists(spark, f"{path}/_SUCCESS"):
+            active = self.registry(spark).filter("is_active")
+            matched = matching.match(chain.block_transactions(blocks), active)
+            rows = ingest.first_writer(matched, "hash", hex_to_long(F.col("blockNumber")))
+            if self.receipts is not None:
                 rows = matching.with_receipts(rows, self.receipts(*ends))
-        rows = matching.decode(rows)
-        rows.select(*schemas.STAGED.fieldNames()).write.mode("overwrite").parquet(path)
+            rows = matching.decode(rows)
+            rows.select(*schemas.STAGED.fieldNames()).write.mode("overwrite").parquet(path)
+        return spark.read.schema(schemas.STAGED).parquet(path)
 
-    def stored(self, spark: SparkSession, staged: DataFrame, batch_id: int, ends: tuple) -> DataFrame:
+    def stored(self, spark: SparkSession, batch_id: int, ends: tuple) -> DataFrame:
         """Stored transactions the batch may repeat: earlier batches only, and only near its blocks."""
         parts = None
         if self.look_back_blocks is not None:
-            first, last = (end // tables.BLOCKS_PER_GROUP for end in (
-                max(ends[0] - self.look_back_blocks, 0), ends[1] + self.look_back_blocks))
-            parts = [f"block_group={group}" for group in range(first, last + 1)]
+            near = (max(ends[0] - self.look_back_blocks, 0), ends[1] + self.look_back_blocks)
+            parts = [f"block_group={group}" for group in _groups(near)]
         return tables.read_table(spark, self.root, "transactions", before_batch=batch_id, partitions=parts)
 
     def __call__(self, blocks: DataFrame, batch_id: int) -> None:
         """Process one micro-batch."""
         started = time.monotonic()
         spark = blocks.sparkSession
-        self.stage(blocks, batch_id)
-        staged = spark.read.schema(schemas.STAGED).parquet(
-            f"{tables.table_path(self.root, STAGED)}/batch_id={batch_id}"
-        )
-        size, first, last = staged.agg(F.count(F.lit(1)), F.min("block_number"), F.max("block_number")).first()
-        if size:
-            self._store(spark, staged, batch_id, size, (first or 0, last or 0))
-        self._record(spark, blocks, batch_id, started)
-
-    def _store(self, spark: SparkSession, staged: DataFrame, batch_id: int, size: int, ends: tuple) -> None:
-        known = self.stored(spark, staged, batch_id, ends)
+        number = hex_to_long(F.col("number"))
+        landed = blocks.agg(F.min(number), F.max(number), F.count(F.lit(1))).first()
+        found = fired = 0
+        if landed[0] is not None:
+            staged = self.stage(blocks, batch_id, (landed[0], landed[1]))
+            block = F.coalesce("block_number", F.lit(0))
+            size, *ends = staged.agg(F.count(F.lit(1)), F.min(block), F.max(block)).first()
+            if size:
+                found, fired = self._store(spark, staged, batch_id, size, tuple(ends))
+        checked = self.registry(spark).filter("is_active").count()
+        duration = int((time.monotonic() - started) * 1000)
+        run = spark.createDataFrame([(batch_id, *landed, checked, found, fired, duration)], schemas.RUNS)
+        tables.write_batch(run, self.root, RUNS, batch_id)
+
+    def _store(self, spark: SparkSession, staged: DataFrame, batch_id: int, size: int, ends: tuple) -> tuple[int, int]:
+        """Write the new transactions, their alerts and messages; returns how many of the first two."""
+        known = self.stored(spark, batch_id, ends)
         fresh = ingest.absent_from(staged, known, "tx_hash", batch_rows=size)
         base = F.lit(batch_id * IDS_PER_BATCH).cast("bigint")
-        rows = self._new_rows(with_dense_ids(ingest.transaction_rows(fresh, self.as_of), "tx_hash", base), batch_id)
+        rows = with_dense_ids(ingest.transaction_rows(fresh, self.as_of), "tx_hash", base, rows=size)
+        rows = self._new_rows(rows, batch_id)
         registry = self.registry(spark)
         if self.provider is None:
             scores = rule_scores(rows)
@@ -106,10 +109,11 @@ class MonitorJob:
         tables.write_batch(scored.select(*schemas.TRANSACTIONS.fieldNames()), self.root, "transactions", batch_id)
 
         written = self._written(spark, "transactions", batch_id, ends)
-        raised = alert_ops.new_alerts(written, base, self.threshold, self.as_of)
+        raised = alert_ops.new_alerts(written, base, self.threshold, self.as_of, most=size)
         tables.write_batch(raised.select(*schemas.ALERTS.fieldNames()), self.root, "alerts", batch_id)
         alerts = tables.read_table(spark, self.root, "alerts", partitions=[f"batch_id={batch_id}"])
         tables.write_batch(alert_ops.outbox(alerts, written, registry), self.root, OUTBOX, batch_id)
+        return rows.count(), alerts.count()
 
     def _new_rows(self, rows: DataFrame, batch_id: int) -> DataFrame:
         """Write the numbered rows: scoring asks for them several times."""
@@ -118,35 +122,14 @@ class MonitorJob:
         return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
     def _written(self, spark: SparkSession, name: str, batch_id: int, ends: tuple) -> DataFrame:
-        first, last = (end // tables.BLOCKS_PER_GROUP for end in ends)
-        parts = [f"block_group={group}/batch_id={batch_id}" for group in range(first, last + 1)]
+        parts = [f"block_group={group}/batch_id={batch_id}" for group in _groups(ends)]
         return tables.read_table(spark, self.root, name, partitions=parts)
 
-    def _record(self, spark: SparkSession, blocks: DataFrame, batch_id: int, started: float) -> None:
-        """One row about the batch; all of it are counts over the batch's own small tables."""
-        number = hex_to_long(F.col("number"))
-        seen = blocks.agg(
-            F.min(number).alias("from_block"), F.max(number).alias("to_block"), F.count(F.lit(1)).alias("blocks")
-        )
-        checked = self.registry(spark).agg(F.count_if("is_active").alias("n"))
-        ends = seen.first()
-        found = self._written(spark, "transactions", batch_id, (ends[0] or 0, ends[1] or 0))
-        fired = tables.read_table(spark, self.root, "alerts", partitions=[f"batch_id={batch_id}"])
-
-        def count_of(df: DataFrame):
-            return df.agg(F.count(F.lit(1)).alias("n")).scalar()
-
-        run = seen.select(
-            F.lit(batch_id).cast("bigint").alias("batch_id"),
-            "from_block",
-            "to_block",
-            "blocks",
-            checked.scalar().alias("protocols_checked"),
-            count_of(found).alias("transactions_found"),
-            count_of(fired).alias("alerts_fired"),
-            F.lit(int((time.monotonic() - started) * 1000)).cast("bigint").alias("duration_ms"),
-        )
-        tables.write_batch(run.select(*schemas.RUNS.fieldNames()), self.root, RUNS, batch_id)
+
+def _groups(blocks: tuple) -> range:
+    """Block groups from the first to the last block."""
+    first, last = (block // schemas.BLOCKS_PER_GROUP for block in blocks)
+    return range(first, last + 1)
 
 
 def start_monitor(

@@ -167,3 +167,16 @@ def test_limiter_stream_equals_audit(spark, tmp_path):
     columns = ["api_key_id", "id", "allowed", "remaining", "reset_at", "retry_after", "created_at"]
     got = sorted(map(tuple, spark.read.parquet(out).select(*columns).collect()))
     assert got == sorted(map(tuple, limiter.audit(calls, rule).select(*columns).collect())) and len(got) == 300
+
+
+def test_unreadable_fields_are_kept_and_flagged(spark, tmp_path):
+    landed, root = tmp_path / "landed", tmp_path / "tables"
+    odd = [{**_tx(900_000, 2, WATCHED[1]), "value": "0xnone"}, {**_tx(900_000, 4, WATCHED[1]), "blockNumber": "?"}]
+    _land(landed, [{"number": hex(900_000), "transactions": [*odd, _tx(900_000, 6, WATCHED[2])]}])
+    _run(spark, landed, _job(root), tmp_path)
+    got = {r.tx_hash[-1]: r for r in _stored(spark, root)}
+    assert got["2"].value_eth is None and got["4"].block_number is None and got["6"].value_eth is not None
+    # All three are alerts here, also the one without a block.
+    assert tables.read_table(spark, str(root), "alerts").count() == 3 == ingest.read_outbox(spark, str(root)).count()
+    staged = spark.read.parquet(f"{root}/staged")
+    assert {r.tx_hash[-1]: r.quarantined for r in staged.collect()} == {"2": True, "4": True, "6": False}
