@@ -326,9 +326,12 @@ def _decoded(spark, sf):
     return matching.decode(matching.with_receipts(_raw(spark, sf), v.receipts(spark, sf)))
 
 
+def _matched_raw(spark, sf):
+    return matching.with_block_number(matching.match(_raw(spark, sf), v.protocols(spark, sf)))
+
+
 def _matched(spark, sf):
-    matched = matching.match(_raw(spark, sf), v.protocols(spark, sf))
-    return matching.decode(matching.with_receipts(matched, v.receipts(spark, sf)))
+    return matching.decode(matching.with_receipts(_matched_raw(spark, sf), v.receipts(spark, sf)))
 
 
 def _head(spark, sf):
@@ -392,7 +395,7 @@ def poll_windows(spark, sf):
 @query
 def window_transactions(spark, sf):
     windows = polling.poll_windows(v.protocols(spark, sf), _head(spark, sf))
-    return polling.in_windows(_matched(spark, sf), windows).select("tx_hash", "protocol_id", "block_number")
+    return matching.decode(polling.in_windows(_matched_raw(spark, sf), windows)).select("tx_hash", "protocol_id", "block_number")
 
 
 @query
@@ -404,7 +407,9 @@ def advance_cursor(spark, sf):
 @query
 def backfill_new_protocol(spark, sf):
     new = v.protocols(spark, sf).withColumn("last_seen_block", F.lit(None).cast("bigint"))
-    return polling.backfill(_matched(spark, sf), new, _head(spark, sf)).select("tx_hash", "protocol_id", "block_number")
+    rows = polling.backfill(_matched_raw(spark, sf), new, _head(spark, sf))
+    rows = matching.decode(matching.with_receipts(rows, v.receipts(spark, sf)))
+    return rows.select("tx_hash", "protocol_id", "block_number", "gas_used")
 
 
 # Scores and alerts

@@ -371,7 +371,7 @@ QUERIES = {
         WHERE m.block_number BETWEEN w.from_block AND w.to_block""",
     "advance_cursor": "SELECT p.id, coalesce(w.to_block, p.last_seen_block) AS last_seen_block FROM protocols p LEFT JOIN windows w ON w.protocol_id = p.id",
     "backfill_new_protocol": """
-        SELECT tx_hash, protocol_id, block_number FROM matched, head
+        SELECT tx_hash, protocol_id, block_number, gas_used FROM matched, head
         WHERE is_active AND block_number BETWEEN head - 9 AND head""",
     # Scores and alerts
     "parse_scores": "SELECT id, tx_hash, risk_score, risk_summary, risk_factors FROM scores",

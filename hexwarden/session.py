@@ -18,6 +18,24 @@ SETTINGS = {
 }
 
 
+# What a shuffle or scan task should take: fits executor memory many times over, and is worth a task.
+TASK_BYTES = 128 * 2**20
+
+
+def shuffle_settings(shuffled_bytes: int, cores: int) -> dict[str, str]:
+    """Settings for a job that shuffles about ``shuffled_bytes`` on ``cores``.
+
+    The count is an upper bound: adaptive execution merges what turns out small. Too few partitions, on the
+    other hand, spill.
+    """
+    partitions = max(2 * cores, -(-shuffled_bytes // TASK_BYTES))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TASK_BYTES),
+        "spark.sql.files.maxPartitionBytes": str(TASK_BYTES),
+    }
+
+
 def build_session(app_name: str = "hexwarden", master: str | None = None, **extra: str) -> SparkSession:
     """Return a session with ``SETTINGS``; ``extra`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app_name)

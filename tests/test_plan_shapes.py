@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks import catalog, views
 from hexwarden.operators import ingest, matching
 from hexwarden.plans import stats
+from hexwarden.session import shuffle_settings
 
 SF = "/root/testdata/sf0.001"
 LAZY = [name for name in catalog.QUERIES if not re.match("stream_|rate_limit|append_|log_events|landed_|insert_", name)]
@@ -109,3 +110,9 @@ def test_busy_address_is_split_when_the_registry_is_not_broadcast(spark):
     finally:
         for key in small:
             spark.conf.unset(key)
+
+
+def test_shuffle_settings_grow_with_the_data():
+    count = "spark.sql.shuffle.partitions"
+    assert shuffle_settings(10**6, 8)[count] == "16"
+    assert int(shuffle_settings(100 * 10**12, 8000)[count]) > 700_000

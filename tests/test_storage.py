@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from hexwarden import schemas
+from hexwarden.plans import feeds
 from hexwarden.sources import chain, eventlog, tables
 
 
@@ -44,7 +45,7 @@ def test_replacing_partitions_computed_from_the_table(spark, tmp_path):
 
 
 def test_snapshot_goes_to_a_new_folder(spark, tmp_path):
-    df = spark.createDataFrame([(1, "p")], "id bigint, name string")
+    df = spark.createDataFrame([(1, "0xAb")], "id bigint, address string")
     path = tables.write_snapshot(df, str(tmp_path), "protocols-2")
     assert spark.read.parquet(path).count() == 1
     try:
@@ -127,3 +128,11 @@ def test_receipts_of_a_block_range(spark, tmp_path):
     assert [r.transactionHash for r in got.collect()] == ["h9"]
     assert "PartitionFilters: [isnotnull(block_group" in got._jdf.queryExecution().executedPlan().toString()
     assert chain.receipts_between(receipts.drop("block_group"), 7, 2 * step).count() == 3
+
+
+def test_lookups_without_case_reach_the_files(spark, tmp_path):
+    df = spark.createDataFrame([(n, f"0xAB{n}") for n in range(50)], "id bigint, address string")
+    tables.write_batch(df, str(tmp_path), "protocols", 0)
+    found = feeds.protocol_by_address(tables.read_table(spark, str(tmp_path), "protocols"), "0xaB7")
+    assert [r.id for r in found.collect()] == [7]
+    assert "EqualTo(address_lc,0xab7)" in found._jdf.queryExecution().executedPlan().toString()
