@@ -265,38 +265,35 @@ QUERIES = {
     "waitlist_list": "SELECT * FROM waitlist",
     # Statistics
     "alert_stats": f"""
-        SELECT count(*) FILTER (WHERE CAST(created_at AS DATE) = DATE '{ALERTS_AS_OF[:10]}') AS today,
-               count(*) FILTER (WHERE created_at >= TIMESTAMP '{ALERTS_AS_OF}' - INTERVAL 7 DAY) AS this_week,
-               count(*) AS all_time FROM alerts""",
+        SELECT count(CASE WHEN date_trunc('day', created_at) = DATE '{ALERTS_AS_OF[:10]}' THEN 1 END) AS today,
+               count(CASE WHEN TIMESTAMP '{ALERTS_AS_OF}' - created_at <= INTERVAL 7 DAY THEN 1 END) AS this_week,
+               count(id) AS all_time
+        FROM alerts""",
     "public_stats": """
-        SELECT (SELECT count(*) FROM protocols WHERE is_active) AS protocols_monitored,
-               (SELECT count(*) FROM transactions WHERE risk_score IS NOT NULL) AS transactions_scored,
-               (SELECT count(*) FROM alerts) AS alerts_fired, 1 AS uptime_days""",
+        FROM (SELECT count(CASE WHEN is_active THEN 1 END) AS protocols_monitored FROM protocols),
+             (SELECT count(risk_score) AS transactions_scored FROM transactions),
+             (SELECT count(id) AS alerts_fired, 1 AS uptime_days FROM alerts)""",
     "admin_overview": f"""
-        SELECT (SELECT count(*) FROM api_keys) AS total_api_keys,
-               (SELECT count(*) FROM api_keys WHERE is_active) AS active_api_keys,
-               (SELECT count(*) FROM waitlist WHERE status = 'pending') AS waitlist_pending,
-               (SELECT count(*) FROM protocols) AS protocols_monitored,
-               (SELECT count(*) FROM transactions WHERE risk_score IS NOT NULL) AS transactions_scored_total,
-               (SELECT count(*) FROM alerts) AS alerts_fired_total,
-               (SELECT count(*) FROM request_log WHERE CAST(created_at AS DATE) = DATE '{LOG_AS_OF[:10]}') AS requests_today""",
+        FROM (SELECT count(id) AS total_api_keys, count(CASE WHEN is_active THEN 1 END) AS active_api_keys FROM api_keys),
+             (SELECT count(CASE WHEN status = 'pending' THEN 1 END) AS waitlist_pending FROM waitlist),
+             (SELECT count(id) AS protocols_monitored FROM protocols),
+             (SELECT count(risk_score) AS transactions_scored_total FROM transactions),
+             (SELECT count(id) AS alerts_fired_total FROM alerts),
+             (SELECT count(CASE WHEN date_trunc('day', created_at) = DATE '{LOG_AS_OF[:10]}' THEN 1 END) AS requests_today FROM request_log)""",
     "requests_today": f"SELECT count(*) AS requests_today FROM request_log WHERE CAST(created_at AS DATE) = DATE '{LOG_AS_OF[:10]}'",
     "risk_histogram": """
-        SELECT count(*) FILTER (WHERE risk_score BETWEEN 0 AND 30) AS low_0_30,
-               count(*) FILTER (WHERE risk_score BETWEEN 31 AND 60) AS medium_31_60,
-               count(*) FILTER (WHERE risk_score BETWEEN 61 AND 70) AS elevated_61_70,
-               count(*) FILTER (WHERE risk_score BETWEEN 71 AND 100) AS high_71_100
-        FROM transactions WHERE risk_score IS NOT NULL""",
+        SELECT count(CASE WHEN risk_score <= 30 THEN 1 END) AS low_0_30, count(CASE WHEN risk_score > 30 AND risk_score <= 60 THEN 1 END) AS medium_31_60,
+               count(CASE WHEN risk_score > 60 AND risk_score <= 70 THEN 1 END) AS elevated_61_70, count(CASE WHEN risk_score > 70 THEN 1 END) AS high_71_100
+        FROM transactions""",
     "risk_bands": f"SELECT {_BAND} AS band, count(*) AS transactions FROM transactions GROUP BY 1",
     "daily_requests": f"""
-        SELECT strftime(day, '%Y-%m-%d') AS date, count(l.id) AS requests
-        FROM (SELECT unnest(generate_series(DATE '{LOG_AS_OF[:10]}' - INTERVAL 6 DAY, DATE '{LOG_AS_OF[:10]}', INTERVAL 1 DAY)) AS day)
-        LEFT JOIN request_log l ON CAST(l.created_at AS DATE) = CAST(day AS DATE)
-        GROUP BY day ORDER BY day""",
+        SELECT strftime(DATE '{LOG_AS_OF[:10]}' - n, '%Y-%m-%d') AS date,
+               (SELECT count(l.id) FROM request_log l WHERE date_trunc('day', l.created_at) = DATE '{LOG_AS_OF[:10]}' - n) AS requests
+        FROM (SELECT CAST(unnest(range(7)) AS INTEGER) AS n)""",
     "waitlist_counts": """
-        SELECT count(*) FILTER (WHERE status = 'pending') AS pending,
-               count(*) FILTER (WHERE status = 'approved') AS approved,
-               count(*) FILTER (WHERE status = 'rejected') AS rejected FROM waitlist""",
+        SELECT count(CASE WHEN status = 'pending' THEN 1 END) AS pending, count(CASE WHEN status = 'approved' THEN 1 END) AS approved,
+               count(CASE WHEN status = 'rejected' THEN 1 END) AS rejected
+        FROM waitlist""",
     "waitlist_domains": "SELECT split_part(email, '@', 2) AS domain, count(*) AS applications FROM waitlist GROUP BY 1",
     # Request log and keys
     "key_usage": f"""
