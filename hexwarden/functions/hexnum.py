@@ -21,34 +21,46 @@ def or_default(value: Column, default) -> Column:
     return F.coalesce(F.nullif(value, F.lit(empty)), F.lit(default))
 
 
-def _padded(value: Column, width: int) -> Column:
-    """The hex digits, zero-padded to ``width``; null if there are none, others, or too many."""
+def digits(value: Column) -> Column:
+    """The digits behind ``0x``, without leading zeros; null for a text without any digit."""
     prefixed = value.startswith("0x") | value.startswith("0X")
-    digits = F.when(prefixed, F.substring(value, 3, _ANY_LENGTH)).otherwise(value)
-    short = F.ltrim(digits, F.lit("0"))
-    padded = F.lpad(short, width, "0")
+    body = F.when(prefixed, F.substring(value, 3, _ANY_LENGTH)).otherwise(value)
+    return F.when(~value.isin("", "0x", "0X"), F.ltrim(body, F.lit("0")))
+
+
+def _padded(digits: Column, width: int) -> Column:
+    padded = F.lpad(digits, width, "0")
     # unhex gives null for any character that is no hex digit.
-    sound = (digits != "") & (F.length(short) <= width) & F.unhex(padded).isNotNull()
-    return F.when(sound, padded)
+    return F.when((F.length(digits) <= width) & F.unhex(padded).isNotNull(), padded)
 
 
-def _number(digits: Column) -> Column:
-    return F.conv(digits, 16, 10)
+def _number(padded: Column) -> Column:
+    return F.conv(padded, 16, 10)
 
 
-def hex_to_long(value: Column) -> Column:
-    """Hex text to bigint; null if not hex or above 2^63-1."""
-    return _number(_padded(value, 16)).try_cast("bigint")
+def long_of(digits: Column) -> Column:
+    """``digits`` as bigint; null if not hex or above 2^63-1."""
+    return _number(_padded(digits, 16)).try_cast("bigint")
 
 
-def hex_to_wei(value: Column) -> Column:
-    """Hex text to decimal(38,0), exact; null if not hex or at 10^38 and above."""
-    padded = _padded(value, 32)
+def wei_of(digits: Column) -> Column:
+    """``digits`` as decimal(38,0), exact; null if not hex or at 10^38 and above."""
+    padded = _padded(digits, 32)
     high = _number(F.substring(padded, 1, 16)).cast("decimal(20,0)")
     low = _number(F.substring(padded, 17, 16)).cast("decimal(20,0)")
     return F.try_add(F.try_multiply(high, F.lit(_TWO_64)), low).cast("decimal(38,0)")
 
 
+def hex_to_long(value: Column) -> Column:
+    """Hex text to bigint in one expression; where many rows are decoded, make ``digits`` a column first."""
+    return long_of(digits(value))
+
+
+def hex_to_wei(value: Column) -> Column:
+    """Hex text to decimal(38,0) in one expression."""
+    return wei_of(digits(value))
+
+
 def wei_to_eth(wei: Column) -> Column:
     """Wei to ETH as the double nearest to the exact quotient.
 
