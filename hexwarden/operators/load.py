@@ -9,7 +9,8 @@ which is taken over one row per key and slot, however many calls the slot holds.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 MICROS = 1_000_000
-SLOT_SECONDS = 900
+# A task takes the calls of one key in one slot; the sums of a key take one row per slot with calls.
+SLOT_SECONDS = 60
 ENTER = 0
 
 
