@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from hexwarden.llm import mixing
+from hexwarden.llm import mixing, simhash
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op8_simhash": simhash.query,
 }
 
 ORACLES = {
