@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from hexwarden.llm import mixing, simhash
+from hexwarden.llm import decontamination, mixing, simhash, tokenfiles, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op5_tokenfiles": tokenfiles.query,
+    "op7_toxicity": toxicity.query,
     "op8_simhash": simhash.query,
+    "op10_decontamination": decontamination.query,
 }
 
 ORACLES = {
