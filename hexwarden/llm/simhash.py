@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from hexwarden.llm.cells import Forest, by_cell, dealt, linked_neighbours, whole_cells
 from hexwarden.llm.common import table
@@ -63,7 +64,7 @@ def fingerprint_of(text: str | None) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _fingerprints(texts: pd.Series) -> pd.Series:
     return texts.map(fingerprint_of).astype("int64")
 
