@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from hexwarden.llm import decontamination, mixing, simhash, tokenfiles, toxicity
+from hexwarden.llm import decontamination, licenses, mixing, simhash, tokenfiles, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op5_tokenfiles": tokenfiles.query,
+    "op6_licenses": licenses.query,
     "op7_toxicity": toxicity.query,
     "op8_simhash": simhash.query,
     "op10_decontamination": decontamination.query,
@@ -14,4 +15,5 @@ QUERIES = {
 
 ORACLES = {
     "op1_mixing": mixing.SQL,
+    "op6_licenses": licenses.sql(),
 }
