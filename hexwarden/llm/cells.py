@@ -21,7 +21,8 @@ BLOCK = 4096
 
 
 def dealt(rows: DataFrame, key: list[str], spread, label: str, block: int = BLOCK) -> DataFrame:
-    """Rows of groups of two or more, with ``cell`` (long) and ``piece`` (their block), once for each of their cells."""
+    """Rows of groups of two or more, once for each of their cells: with ``cell`` (long), ``piece`` (their block) and
+    ``within`` (the cell is that of one block, so it alone compares the block's rows with each other)."""
     rows = written(rows, f"{label}-rows")
     sizes = written(rows.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1"), f"{label}-sizes")
     blocks = F.ceil(F.col("_n") / F.lit(block)).cast("long")
@@ -29,7 +30,8 @@ def dealt(rows: DataFrame, key: list[str], spread, label: str, block: int = BLOC
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
     cut = known.withColumn("_other", other)
     cell = F.xxhash64(*key, F.least("piece", "_other"), F.greatest("piece", "_other"))
-    return cut.withColumn("cell", cell).drop("_n", "_blocks", "_other")
+    within = F.col("piece") == F.col("_other")
+    return cut.withColumn("cell", cell).withColumn("within", within).drop("_n", "_blocks", "_other")
 
 
 def by_cell(rows: DataFrame) -> DataFrame:

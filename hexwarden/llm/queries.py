@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from hexwarden.llm import decontamination, licenses, mixing, simhash, tokenfiles, toxicity
+from hexwarden.llm import decontamination, embeddings, licenses, maintext, mixing, simhash, tokenfiles, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op3_embeddings": embeddings.query,
     "op5_tokenfiles": tokenfiles.query,
     "op6_licenses": licenses.query,
     "op7_toxicity": toxicity.query,
     "op8_simhash": simhash.query,
+    "op9_maintext": maintext.query,
     "op10_decontamination": decontamination.query,
 }
 
