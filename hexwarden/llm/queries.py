@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from hexwarden.llm import decontamination, embeddings, licenses, maintext, mixing, simhash, tokenfiles, toxicity
+from hexwarden.llm import decontamination, embeddings, licenses, maintext, mixing, repeats, simhash, tokenfiles, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op2_repeats": repeats.query,
     "op3_embeddings": embeddings.query,
     "op5_tokenfiles": tokenfiles.query,
     "op6_licenses": licenses.query,
