@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from hexwarden.llm import decontamination, embeddings, licenses, maintext, mixing, repeats, simhash, tokenfiles, toxicity
+from hexwarden.llm import decontamination, embeddings, licenses, maintext, mixing, passages, repeats, simhash, tokenfiles, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_repeats": repeats.query,
     "op3_embeddings": embeddings.query,
+    "op4_passages": passages.query,
     "op5_tokenfiles": tokenfiles.query,
     "op6_licenses": licenses.query,
     "op7_toxicity": toxicity.query,
