@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def worker_store() -> dict:
-    """A dict that lives as long as the Python worker, for caches that outlast one task."""
-    return sys.modules.setdefault("hexwarden_worker_store", types.ModuleType("hexwarden_worker_store")).__dict__
+#: Entries of a cache; who fills one empties it when it has more.
+CACHE_ENTRIES = 500_000
+
+
+def worker_cache(name: str, build: Callable[[], Any]) -> Any:
+    """A cache that outlasts the task. A Python worker keeps one: asking for another lets go of it, so workers that
+    serve several stages do not gather the caches of all."""
+    store = sys.modules.setdefault("hexwarden_worker_cache", types.ModuleType("hexwarden_worker_cache")).__dict__
+    if store.get("name") != name:
+        store["cache"] = None
+        store["name"], store["cache"] = name, build()
+    return store["cache"]
 
 
 def unit_hash(seed: int, *columns: Column) -> Column:

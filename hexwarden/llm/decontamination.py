@@ -27,13 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexwarden.llm.common import table, worker_store
+from hexwarden.llm.common import CACHE_ENTRIES, table, worker_cache
 from hexwarden.workspace import written
 
 WINDOW = 8
 COVERAGE = 0.8
 TABLE_BITS = 22
-CACHE_TOKENS = 1_000_000
 
 #: Units of measure and money, English spelling unless international.
 UNITS = frozenset(
@@ -121,14 +120,14 @@ def _emitter(sizes: list[int] | None, bits: np.ndarray | None):
     """Windows of items (their own size, all of them) or of documents (``sizes``, those whose bit is set)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = worker_store().setdefault("template-codes", _Codes())
+        codes = worker_cache("template codes", _Codes)
         table_of_bits = None if bits is None else np.unpackbits(bits).astype(bool)
         out: list[tuple] = []
         for batch in batches:
             for at_row in range(0, batch.num_rows, 256):
                 part = batch.slice(at_row, 256)
                 for doc_id, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    if len(codes) > CACHE_TOKENS:
+                    if len(codes) > CACHE_ENTRIES:
                         codes.clear()
                     hashed, value, plain = template(text, codes.__getitem__)
                     for size in sizes or [min(WINDOW, len(hashed))]:

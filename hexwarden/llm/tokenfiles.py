@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hexwarden.llm.common import table, worker_store
+from hexwarden.llm.common import CACHE_ENTRIES, table, worker_cache
 from hexwarden.workspace import run_dir, written
 
 VOCABULARY = "word_bpe_49k.json"
@@ -39,8 +39,6 @@ END_ID = 2
 MASK_DELTA = 0xA282EAD8
 #: Bytes of text that one pair of files is made of, and records that one reading task takes at a time.
 FILE_TEXT_BYTES = 32 * 2**20
-#: Entries of a worker's cache of encoded pieces; it is emptied when full.
-CACHE_PIECES = 1_000_000
 
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("n_tokens", "<i8"), ("is_null", "<i8")])
 MANIFEST = "part long, records string, index string, n_docs long, n_tokens long, n_bytes long"
@@ -81,7 +79,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of the width ``kind``."""
-        if len(self.known) > CACHE_PIECES:
+        if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
         cut = [text.translate(_TO_SPACE).split(" ") for text in texts]
         new = [p for p in set().union(*cut) if p not in self.known]
@@ -94,10 +92,7 @@ _TO_SPACE = str.maketrans(dict.fromkeys("\t\n\r\x0b\x0c", " "))
 
 
 def _encoder(path: str) -> Encoder:
-    store = worker_store()
-    if path not in store:
-        store[path] = Encoder(path)
-    return store[path]
+    return worker_cache(f"encoder {path}", lambda: Encoder(path))
 
 
 def _writer(folder: str, vocabulary: str, end_id: int):

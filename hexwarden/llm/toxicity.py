@@ -32,7 +32,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hexwarden.llm.common import crc_fold, table, unit_hash, worker_store
+from hexwarden.llm.common import CACHE_ENTRIES, crc_fold, table, unit_hash, worker_cache
 from hexwarden.workspace import written
 
 #: Bounds of what is learned from: labelled rows, and terms of the lexicon.
@@ -46,7 +46,6 @@ TERM_ROWS, TERM_ODDS, TERM_G2 = 3, 8.0, 16.0
 #: Words on either side of a hit in which a second-person word counts as near.
 NEAR = 5
 PREFIXES = (4, 5, 6)
-CACHE_WORDS = 1_000_000
 
 #: Second-person words (English, German, French, Spanish), and look-alike characters.
 SECOND_PERSON = frozenset(
@@ -194,15 +193,14 @@ class _Codes(dict):
 
 def features(lexicon: dict[str, float]):
     """A function of a text column: its features as array<double>."""
-    name = f"toxicity-{hash(frozenset(lexicon.items()))}"
+    name = f"word codes {hash(frozenset(lexicon.items()))}"
 
     @F.pandas_udf("array<double>")
     def dense(texts: pd.Series) -> pd.Series:
-        store = worker_store()
-        codes = store.setdefault(name, _Codes(lexicon))
+        codes = worker_cache(name, lambda: _Codes(lexicon))
         out = []
         for text in texts:
-            if len(codes) > CACHE_WORDS:
+            if len(codes) > CACHE_ENTRIES:
                 codes.clear()
             out.append(features_of(text, codes.__getitem__))
         return pd.Series(out)
