@@ -617,7 +617,10 @@ def stream_runs(spark, sf):
 def stream_rate_limit(spark, sf):
     """The calls land in three parts, in order of time; each is taken up by a new run of the same stream."""
     root, calls = run_dir(spark, "calls"), v.request_log(spark, sf)
-    parts = F.least(F.floor((F.dayofmonth("created_at") - 1) / 10), F.lit(2))
+    low, high = (F.unix_micros(F.col(c)) for c in ("low", "high"))
+    ends = calls.agg(F.min("created_at").alias("low"), F.max("created_at").alias("high")).select(low, high).first()
+    third = (ends[1] - ends[0]) // 3 + 1
+    parts = F.floor((F.unix_micros("created_at") - F.lit(ends[0])) / F.lit(third))
     for part in range(3):
         calls.filter(parts == part).write.mode("append").parquet(f"{root}/landed")
         stream = spark.readStream.schema(schemas.REQUEST_LOG).parquet(f"{root}/landed")

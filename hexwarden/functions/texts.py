@@ -8,12 +8,18 @@ SUMMARY_CHARS = 120
 KEY_PREFIX_CHARS = 9
 LOG_HASH_CHARS = 18
 
+# The white space of Unicode, and the control characters that count as such.
+WHITE_SPACE = (
+    "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Shown in place of a missing or empty text.
 NO_VALUE = "—"
 DEFAULT_ALERT_TEXT = "High risk transaction detected"
 UNKNOWN_PROTOCOL = "Unknown"
 
-# A Markdown code fence, optionally tagged json; the shortest one, over line breaks.
+# Fixed value: a Markdown code fence, optionally tagged json; the shortest one, over line breaks.
 FENCE = r"(?s)```(?:json)?\s*(.*?)```"
 
 
@@ -23,8 +29,8 @@ def cut(value: Column, chars: int) -> Column:
 
 
 def strip(value: Column) -> Column:
-    """Remove all white space at both ends (``trim`` by itself only removes blanks)."""
-    return F.btrim(value, F.lit(" \t\n\r\f\v"))
+    """Remove all white space of Unicode at both ends (``trim`` by itself only removes blanks)."""
+    return F.btrim(value, F.lit(WHITE_SPACE))
 
 
 def unfence(value: Column) -> Column:

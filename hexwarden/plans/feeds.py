@@ -120,13 +120,13 @@ def recent_alerts(
     transactions: DataFrame,
     protocols: DataFrame,
     limit: int = ALERTS_SHOWN,
-    keys_enforced: bool = True,
+    keys_enforced: bool = False,
 ) -> DataFrame:
     """Newest alerts with hash and protocol name.
 
-    Every alert has its transaction and protocol, since deletions cascade. So the newest alerts are picked
-    before the joins, and the big table is scanned for a few hundred ids instead of being shuffled. With
-    ``keys_enforced=False`` alerts without a transaction or protocol are dropped before picking.
+    Alerts without a transaction or protocol are dropped before the newest are picked: Parquet enforces no
+    keys. Where the caller knows that every alert has both (``keys_enforced``), the newest are picked before
+    the joins, and the big table is scanned for a few hundred ids.
     """
     count = clamp(limit, ALERTS_MAX)
     order = newest(alerts, "created_at")

@@ -1,14 +1,20 @@
-"""The monitoring loop: landed blocks in; transactions, alerts, messages and run records out.
+"""The monitoring loop: landed blocks in; transactions, alerts, messages, events and run records out.
 
 One micro-batch is: match, decode, first writer, skip what is stored, score, alert, outbox, run record.
-Its matched rows are first written to ``staged/batch_id=<n>``. A repeated batch reads that again, even if
-the registry has changed since, so it writes the same rows to the same folders; and what follows starts
-from a small written table instead of a growing lineage.
+Its matched rows are first written to ``staged/batch_id=<n>``, and a provider's answers to
+``answers/batch_id=<n>``. A repeated batch reads both again, even if the registry or the provider has changed
+since, so it writes the same rows to the same folders; and what follows starts from a small written table
+instead of a growing lineage.
+
+Batch numbers and ids belong to a run. Every checkpoint - and every backfill - is allotted a run once
+(``tables.allotted_run``); its batches and ids lie in a range of their own, above those of tables that were
+filled by other means. So a new checkpoint on the same tables stages anew, and a backfill can go on beside a
+running stream.
 """
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,30 +25,27 @@ from hexwarden.functions.hexnum import hex_to_long
 from hexwarden.functions.risk import ALERT_THRESHOLD
 from hexwarden.operators import alerts as alert_ops, ingest, matching
 from hexwarden.operators.ids import with_dense_ids
-from hexwarden.operators.rules import rule_scores
+from hexwarden.operators.rules import RuleWeights, rule_scores
 from hexwarden.operators.scoring import ScoreProvider, apply_scores, resolve_scores, scoring_requests
 from hexwarden.sources import chain, tables
 
 POLL_SECONDS, POLL_SECONDS_MIN = 15, 10  # Fixed values.
-# Ids of a batch start at its number times this: batches never meet, and no table is read for the next id.
-IDS_PER_BATCH = 2**36
-# A hash can only turn up again in another block while the chain may still be reorganised. Ethereum
-# blocks are final after about 64 blocks; this is far beyond that.
-REORG_BLOCKS = 10_000
+# An id is made of run, batch of the run and place in the batch; run 0 is left to rows that were there before.
+RUN_BITS, BATCH_BITS, ROW_BITS = 8, 25, 30
 
 OUTBOX = "outbox"
 RUNS = "runs"
-STAGED, NUMBERED = "staged", "numbered"
+STAGED, NUMBERED, ANSWERS = "staged", "numbered", "answers"
 
 
 @dataclass
 class MonitorJob:
     """Settings of the monitoring loop.
 
-    ``registry`` is called for every batch, so changes to it take effect at the next one. ``receipts``
+    ``registry`` is called once for every batch, so changes to it take effect at the next one. ``receipts``
     gets the first and last block of the batch and returns their receipts. ``provider`` scores; without
-    one the built-in rules do. ``look_back_blocks`` bounds the blocks in which a stored transaction is
-    looked for; ``None`` compares with the whole table.
+    one the built-in rules do, with ``weights`` and ``flagged`` senders (column ``address``), and senders
+    counted over all stored transactions up to the own block. ``run`` is the number that was allotted.
     """
 
     root: str
@@ -50,97 +53,116 @@ class MonitorJob:
     receipts: Callable[[int, int], DataFrame] | None = None
     provider: ScoreProvider | None = None
     threshold: int = ALERT_THRESHOLD
-    look_back_blocks: int | None = REORG_BLOCKS
     as_of: AsOf = None
-
-    def stage(self, blocks: DataFrame, batch_id: int, ends: tuple) -> DataFrame:
-        """Decoded matches of the batch, one row per transaction; written unless that was done before."""
-        spark = blocks.sparkSession
-        path = f"{tables.table_path(self.root, STAGED)}/batch_id={batch_id}"
+    weights: RuleWeights = field(default_factory=RuleWeights)
+    flagged: Callable[[SparkSession], DataFrame] | None = None
+    run: int = 1
+
+    def number(self, batch_id: int) -> int:
+        """The batch among those of all runs."""
+        if not (0 < self.run < 2**RUN_BITS and 0 <= batch_id < 2**BATCH_BITS):
+            raise ValueError(f"no ids are left for batch {batch_id} of run {self.run}")
+        return ((self.run - 1) << BATCH_BITS) + batch_id
+
+    def first_id(self, batch: int) -> int:
+        return (batch + (1 << BATCH_BITS)) << ROW_BITS
+
+    def _kept(self, spark: SparkSession, name: str, batch: int, schema, build: Callable[[], DataFrame]) -> DataFrame:
+        """What an earlier attempt of the batch has written whole, or else what ``build`` gives, written."""
+        path = f"{tables.table_path(self.root, name)}/batch_id={batch}"
         if not tables.path_exists(spark, f"{path}/_SUCCESS"):
-            active = self.registry(spark).filter("is_active")
-            matched = matching.match(chain.block_transactions(blocks), active)
-            rows = ingest.first_writer(matched, "hash", hex_to_long(F.col("blockNumber")))
-            if self.receipts is not None:
-                rows = matching.with_receipts(rows, self.receipts(*ends))
-            rows = matching.decode(rows)
-            rows.select(*schemas.STAGED.fieldNames()).write.mode("overwrite").parquet(path)
-        return spark.read.schema(schemas.STAGED).parquet(path)
-
-    def stored(self, spark: SparkSession, batch_id: int, ends: tuple) -> DataFrame:
-        """Stored transactions the batch may repeat: earlier batches only, and only near its blocks."""
-        parts = None
-        if self.look_back_blocks is not None:
-            near = (max(ends[0] - self.look_back_blocks, 0), ends[1] + self.look_back_blocks)
-            parts = [f"block_group={group}" for group in _groups(near)]
-        return tables.read_table(spark, self.root, "transactions", before_batch=batch_id, partitions=parts)
+            build().select(*schema.fieldNames()).write.mode("overwrite").parquet(path)
+        return spark.read.schema(schema).parquet(path)
+
+    def _matches(self, blocks: DataFrame, active: DataFrame, ends: tuple) -> DataFrame:
+        """Decoded matches of the batch, one row per transaction."""
+        matched = matching.match(chain.block_transactions(blocks), active)
+        rows = ingest.first_writer(matched, "hash", hex_to_long(F.col("blockNumber")))
+        if self.receipts is not None:
+            rows = matching.with_receipts(rows, self.receipts(*ends))
+        return matching.decode(rows)
 
     def __call__(self, blocks: DataFrame, batch_id: int) -> None:
         """Process one micro-batch."""
         started = time.monotonic()
-        spark = blocks.sparkSession
+        spark, batch = blocks.sparkSession, self.number(batch_id)
         number = hex_to_long(F.col("number"))
         landed = blocks.agg(F.min(number), F.max(number), F.count(F.lit(1))).first()
+        registry = self.registry(spark)
         found = fired = 0
         if landed[0] is not None:
-            staged = self.stage(blocks, batch_id, (landed[0], landed[1]))
-            block = F.coalesce("block_number", F.lit(0))
-            size, *ends = staged.agg(F.count(F.lit(1)), F.min(block), F.max(block)).first()
-            if size:
-                found, fired = self._store(spark, staged, batch_id, size, tuple(ends))
-        checked = self.registry(spark).filter("is_active").count()
+            active = registry.filter("is_active")
+            staged = self._kept(
+                spark, STAGED, batch, schemas.STAGED, lambda: self._matches(blocks, active, (landed[0], landed[1]))
+            )
+            if not staged.isEmpty():
+                found, fired = self._store(spark, staged, registry, batch)
+        checked = registry.filter("is_active").count()
         duration = int((time.monotonic() - started) * 1000)
-        run = spark.createDataFrame([(batch_id, *landed, checked, found, fired, duration)], schemas.RUNS)
-        tables.write_batch(run, self.root, RUNS, batch_id)
+        run = spark.createDataFrame([(batch, *landed, checked, found, fired, duration)], schemas.RUNS)
+        tables.write_batch(run, self.root, RUNS, batch)
 
-    def _store(self, spark: SparkSession, staged: DataFrame, batch_id: int, size: int, ends: tuple) -> tuple[int, int]:
+    def _store(self, spark: SparkSession, staged: DataFrame, registry: DataFrame, batch: int) -> tuple[int, int]:
         """Write the new transactions, their alerts and messages; returns how many of the first two."""
-        known = self.stored(spark, batch_id, ends)
-        fresh = ingest.absent_from(staged, known, "tx_hash", batch_rows=size)
-        base = F.lit(batch_id * IDS_PER_BATCH).cast("bigint")
-        rows = with_dense_ids(ingest.transaction_rows(fresh, self.as_of), "tx_hash", base, rows=size)
-        rows = self._new_rows(rows, batch_id)
-        registry = self.registry(spark)
+        known = tables.read_table(spark, self.root, "transactions", but_batch=batch)
+        fresh = ingest.absent_from(staged, known, "tx_hash")
+        base = F.lit(self.first_id(batch)).cast("bigint")
+        rows = self._new_rows(ingest.transaction_rows(fresh, self.as_of), base, batch)
         if self.provider is None:
-            scores = rule_scores(rows)
+            scores = self._rules(spark, rows, known)
         else:
-            scores = resolve_scores(rows, self.provider(scoring_requests(rows, registry)))
+            asked = scoring_requests(rows, registry)
+            answers = self._kept(spark, ANSWERS, batch, schemas.ANSWERS, lambda: _with_attempt(self.provider(asked)))
+            scores = resolve_scores(rows, answers)
         scored = apply_scores(rows, scores, self.as_of)
-        tables.write_batch(scored.select(*schemas.TRANSACTIONS.fieldNames()), self.root, "transactions", batch_id)
+        tables.write_batch(scored.select(*schemas.TRANSACTIONS.fieldNames()), self.root, "transactions", batch)
 
-        written = self._written(spark, "transactions", batch_id, ends)
-        raised = alert_ops.new_alerts(written, base, self.threshold, self.as_of, most=size)
-        tables.write_batch(raised.select(*schemas.ALERTS.fieldNames()), self.root, "alerts", batch_id)
-        alerts = tables.read_table(spark, self.root, "alerts", partitions=[f"batch_id={batch_id}"])
-        tables.write_batch(alert_ops.outbox(alerts, written, registry), self.root, OUTBOX, batch_id)
-        return rows.count(), alerts.count()
+        stored = tables.read_table(spark, self.root, "transactions", batch_id=batch)
+        raised = alert_ops.new_alerts(stored, base, self.threshold, self.as_of)
+        tables.write_batch(raised.select(*schemas.ALERTS.fieldNames()), self.root, "alerts", batch)
+        alerts = tables.read_table(spark, self.root, "alerts", batch_id=batch)
+        tables.write_batch(alert_ops.outbox(alerts, stored, registry), self.root, OUTBOX, batch)
+        return stored.count(), alerts.count()
 
-    def _new_rows(self, rows: DataFrame, batch_id: int) -> DataFrame:
-        """Write the numbered rows: scoring asks for them several times."""
-        path = f"{tables.table_path(self.root, NUMBERED)}/batch_id={batch_id}"
-        rows.write.mode("overwrite").parquet(path)
-        return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    def _rules(self, spark: SparkSession, rows: DataFrame, known: DataFrame) -> DataFrame:
+        """Scores by the rules; of the stored transactions only those of the batch's senders are counted."""
+        of_senders = known.select("from_address", "block_number").join(
+            rows.select("from_address").distinct(), "from_address", "left_semi"
+        )
+        history = of_senders.unionByName(rows.select("from_address", "block_number"))
+        flagged = None if self.flagged is None else self.flagged(spark)
+        return rule_scores(rows, flagged, self.weights, history, by_block=True)
 
-    def _written(self, spark: SparkSession, name: str, batch_id: int, ends: tuple) -> DataFrame:
-        parts = [f"block_group={group}/batch_id={batch_id}" for group in _groups(ends)]
-        return tables.read_table(spark, self.root, name, partitions=parts)
+    def _new_rows(self, fresh: DataFrame, base, batch: int) -> DataFrame:
+        """Number the rows and write them: scoring asks for them several times."""
+        spark, path = fresh.sparkSession, f"{tables.table_path(self.root, NUMBERED)}/batch_id={batch}"
+        fresh.write.mode("overwrite").parquet(f"{path}/fresh")
+        rows = with_dense_ids(spark.read.schema(fresh.schema).parquet(f"{path}/fresh"), "tx_hash", base)
+        rows.write.mode("overwrite").parquet(f"{path}/rows")
+        return spark.read.schema(rows.schema).parquet(f"{path}/rows")
 
 
-def _groups(blocks: tuple) -> range:
-    """Block groups from the first to the last block."""
-    first, last = (block // schemas.BLOCKS_PER_GROUP for block in blocks)
-    return range(first, last + 1)
+def _with_attempt(answers: DataFrame) -> DataFrame:
+    return answers if "attempt" in answers.columns else answers.withColumn("attempt", F.lit(1))
 
 
 def start_monitor(
     blocks: DataFrame, job: MonitorJob, checkpoint: str, once: bool = False, poll_seconds: int = POLL_SECONDS
 ) -> StreamingQuery:
-    """Run the loop over a stream of blocks; the checkpoint is the cursor. ``once`` takes what has landed
-    and stops."""
+    """Run the loop over a stream of blocks; the checkpoint is the cursor and owns the job's run. ``once``
+    takes what has landed and stops."""
+    job.run = tables.allotted_run(blocks.sparkSession, job.root, checkpoint)
     trigger = {"availableNow": True} if once else {"processingTime": f"{max(poll_seconds, POLL_SECONDS_MIN)} seconds"}
     return blocks.writeStream.foreachBatch(job).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def backfill_blocks(blocks: DataFrame, job: MonitorJob, name: str) -> None:
+    """Take landed blocks as one batch of a run of its own, through the same path as the stream; safe beside a
+    running stream, and the same again under the same ``name``."""
+    job.run = tables.allotted_run(blocks.sparkSession, job.root, f"backfill:{name}")
+    job(blocks, 0)
+
+
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
     return tables.read_table(spark, root, RUNS, schemas.RUNS)
 

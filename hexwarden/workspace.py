@@ -9,9 +9,14 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a local one only where none is named."""
+    """The folder the cluster names for checkpoints; a local one only where none is named and all runs here.
+
+    On a cluster a local folder would be another one on every machine, and reads would miss rows.
+    """
     named = spark.conf.get(CHECKPOINT_SETTING, None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"{CHECKPOINT_SETTING} must name a folder that all machines share")
         named = tempfile.mkdtemp(prefix="hexwarden-")
         spark.conf.set(CHECKPOINT_SETTING, named)
         spark.sparkContext.setCheckpointDir(named)

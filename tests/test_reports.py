@@ -31,7 +31,7 @@ def test_alert_feed_order_and_clamp(spark):
         assert [r.id for r in rows] == [3, 2, 4, 1] and rows[0].protocol_name == "two & <co>"
     assert [r.id for r in feeds.recent_alerts(alerts, transactions, protocols, 0).collect()] == [3]
     orphan = alerts.union(_alerts(spark, [(5, 77, 80, "", False, "2025-01-01")]))
-    kept = feeds.recent_alerts(orphan, transactions, protocols, 1, keys_enforced=False).collect()
+    kept = feeds.recent_alerts(orphan, transactions, protocols, 1).collect()
     assert [r.id for r in kept] == [3]
 
 

@@ -29,17 +29,26 @@ def test_batches_replace_themselves(spark, tmp_path):
     tables.write_batch(_transactions(spark, [(1, "a", 1), (2, "b", step)]), root, "transactions", 0)
     table = tables.read_table(spark, root, "transactions")
     assert sorted((r.id, r.block_group, r.batch_id) for r in table.collect()) == [(1, 0, 0), (2, 1, 0), (3, 1, 1)]
-    assert sorted(r.id for r in tables.read_table(spark, root, "transactions", before_batch=1).collect()) == [1, 2]
-    group = tables.read_table(spark, root, "transactions", partitions=["block_group=1", "block_group=9"])
-    assert sorted(r.id for r in group.collect()) == [2, 3]
+    assert sorted(r.id for r in tables.read_table(spark, root, "transactions", but_batch=1).collect()) == [1, 2]
+    assert [r.id for r in tables.read_table(spark, root, "transactions", batch_id=1).collect()] == [3]
+    # Fewer partitions, and none at all.
+    tables.write_batch(_transactions(spark, [(1, "a", 1)]), root, "transactions", 0)
+    assert sorted(r.id for r in tables.read_table(spark, root, "transactions").collect()) == [1, 3]
+    tables.write_batch(_transactions(spark, [(1, "a", 1)]).limit(0), root, "transactions", 0)
+    assert sorted(r.id for r in tables.read_table(spark, root, "transactions").collect()) == [3]
+
+
+def test_runs_are_allotted_once(spark, tmp_path):
+    runs = [tables.allotted_run(spark, str(tmp_path), owner) for owner in ("a", "b", "a", "c", "b")]
+    assert runs == [1, 2, 1, 3, 2]
 
 
 def test_replacing_partitions_computed_from_the_table(spark, tmp_path):
     root = str(tmp_path)
     rows = [(n, f"h{n}", n * tables.BLOCKS_PER_GROUP) for n in range(4)]
     tables.write_batch(_transactions(spark, rows), root, "transactions", 0)
-    scores = spark.createDataFrame([("h1", tables.BLOCKS_PER_GROUP, 88, "new"), ("h3", 3 * tables.BLOCKS_PER_GROUP, 7, "new")], "tx_hash string, block_number bigint, risk_score int, risk_summary string")
-    tables.store_scores(spark, root, scores, "2024-01-01 00:00:00")
+    scores = spark.createDataFrame([("h1", 88, "new"), ("h3", 7, "new"), ("?", 1, "")], "tx_hash string, risk_score int, risk_summary string")
+    assert [r.tx_hash for r in tables.store_scores(spark, root, scores, "2024-01-01 00:00:00").collect()] == ["?"]
     got = {r.id: r.risk_score for r in tables.read_table(spark, root, "transactions").collect()}
     assert got == {0: None, 1: 88, 2: None, 3: 7}
 
@@ -60,7 +69,7 @@ def test_request_log_is_cut_by_day(spark, tmp_path):
     df = spark.createDataFrame([(1, "2024-01-01 10:00:00"), (2, "2024-01-02 10:00:00")], "id bigint, at string")
     df = df.selectExpr("id", "1L AS api_key_id", "'/api/x' AS endpoint", "'GET' AS method", "200 AS status_code", "5 AS response_ms", "timestamp(at) AS created_at")
     tables.write_batch(df, str(tmp_path), "request_log", 0)
-    assert sorted(p.name for p in (tmp_path / "request_log").glob("day=*")) == ["day=2024-01-01", "day=2024-01-02"]
+    assert sorted(p.name for p in (tmp_path / "request_log").glob("batch_id=0/day=*")) == ["day=2024-01-01", "day=2024-01-02"]
     assert tables.read_table(spark, str(tmp_path), "request_log").filter("day = date'2024-01-02'").first().id == 2
 
 

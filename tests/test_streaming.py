@@ -1,6 +1,7 @@
 """The streams: batch by batch the same rows as a batch job, also when batches or files come again."""
 
 import json
+import os
 import random
 from datetime import datetime
 
@@ -29,7 +30,9 @@ def _blocks(numbers):
 def _land(folder, blocks):
     folder.mkdir(exist_ok=True)
     for block in blocks:
-        (folder / f"{int(block['number'], 16):05}.json").write_text(json.dumps(block))
+        number = int(block["number"], 16)
+        (folder / f"{number:05}.json").write_text(json.dumps(block))
+        os.utime(folder / f"{number:05}.json", (1.7e9 + number,) * 2)  # Files are taken up in order of time.
 
 
 def _registry(session, active=(1, 2, 3)):
@@ -133,21 +136,70 @@ def test_rules_receipts_and_whole_table_lookup(spark, tmp_path):
         seen.append((first, last))
         return spark.createDataFrame([("0x00050001", "0x9999", "0x5")], schemas.RECEIPT)
 
-    job = ingest.MonitorJob(str(root), _registry, receipts=receipts, look_back_blocks=None, threshold=0)
+    job = ingest.MonitorJob(str(root), _registry, receipts=receipts, threshold=0)
     _run(spark, landed, job, tmp_path)
     got = {r.tx_hash: r for r in _stored(spark, root)}
     assert seen == [(5, 5)] and got["0x00050001"].gas_used == 0x9999 and got["0x00050002"].gas_used == 21000
     assert all(0 <= r.risk_score <= 100 for r in got.values()) and tables.read_table(spark, str(root), "alerts").count() == 2
 
 
-def test_same_hash_in_a_far_block_needs_the_whole_table(spark, tmp_path):
+def test_same_hash_in_a_far_block_is_stored_once(spark, tmp_path):
     near, far = _tx(5, 1, WATCHED[1]), {**_tx(5, 1, WATCHED[1]), "blockNumber": hex(500_000)}
-    for look_back, count in ((10_000, 2), (None, 1)):
-        root, job = tmp_path / f"t{look_back}", _job(tmp_path / f"t{look_back}", look_back_blocks=look_back)
-        for batch, tx in enumerate((near, far)):
-            rows = [(tx["blockNumber"], [tuple(tx[c] for c in schemas.RAW_TRANSACTION.fieldNames())])]
-            job(spark.createDataFrame(rows, schemas.BLOCK), batch)
-        assert len(_stored(spark, root)) == count
+    root, job = tmp_path / "tables", _job(tmp_path / "tables")
+    for batch, tx in enumerate((near, far)):
+        rows = [(tx["blockNumber"], [tuple(tx[c] for c in schemas.RAW_TRANSACTION.fieldNames())])]
+        job(spark.createDataFrame(rows, schemas.BLOCK), batch)
+    assert [r.block_number for r in _stored(spark, root)] == [5]
+
+
+def test_absurd_block_numbers_stop_nothing(spark, tmp_path):
+    root, job = tmp_path / "tables", _job(tmp_path / "tables")
+    txs = [_tx(5, 1, WATCHED[1]), {**_tx(5, 2, WATCHED[1]), "blockNumber": hex(2**63 - 1)}, {**_tx(5, 3, WATCHED[2]), "blockNumber": None}]
+    rows = [("0x5", [tuple(tx[c] for c in schemas.RAW_TRANSACTION.fieldNames()) for tx in txs]), (hex(2**63 - 1), [])]
+    job(spark.createDataFrame(rows, schemas.BLOCK), 0)
+    assert len(_stored(spark, root)) == 3
+
+
+def test_new_checkpoint_and_backfill_store_all_their_blocks(spark, tmp_path):
+    root, parts = tmp_path / "tables", [_blocks(range(n, n + 4)) for n in (20, 30, 40)]
+    old = spark.createDataFrame([(7, "0xold", 1)], "id bigint, tx_hash string, block_number bigint")
+    for name in schemas.TRANSACTIONS.fieldNames():
+        if name not in old.columns:
+            old = old.withColumn(name, F.lit(None).cast(schemas.TRANSACTIONS[name].dataType))
+    tables.write_batch(old.select(*schemas.TRANSACTIONS.fieldNames()), str(root), "transactions", 2**40)
+    for n, blocks in enumerate(parts[:2]):
+        _land(tmp_path / f"landed{n}", blocks)
+        stream = chain.stream_blocks(spark, str(tmp_path / f"landed{n}"))
+        ingest.start_monitor(stream, _job(root), str(tmp_path / f"checkpoint{n}"), once=True).awaitTermination()
+    _land(tmp_path / "landed2", parts[2] + parts[0])
+    for _ in range(2):
+        ingest.backfill_blocks(chain.read_blocks(spark, str(tmp_path / "landed2")), _job(root), "late")
+    rows = _stored(spark, root)
+    assert sorted(r.tx_hash for r in rows) == sorted(["0xold", *_want(parts[0] + parts[1] + parts[2])])
+    assert len({r.id for r in rows}) == len(rows)
+
+
+def test_rule_scores_do_not_depend_on_the_cut(spark, tmp_path):
+    landed, found = tmp_path / "landed", []
+    _land(landed, _blocks(range(60, 72)))
+    for files in (1, 5, 50):
+        root = tmp_path / f"t{files}"
+        flagged = lambda session: session.createDataFrame([("0x" + "E" * 40,)], "address string")
+        job = ingest.MonitorJob(str(root), _registry, as_of="2024-01-01 09:00:00", flagged=flagged)
+        stream = chain.stream_blocks(spark, str(landed), files)
+        ingest.start_monitor(stream, job, str(tmp_path / f"cp{files}"), once=True).awaitTermination()
+        found.append({r.tx_hash: (r.risk_score, r.risk_summary) for r in _stored(spark, root)})
+    assert found[0] == found[1] == found[2] and len({s for s, _ in found[0].values()}) > 2
+
+
+def test_answers_of_a_batch_are_kept(spark, tmp_path):
+    _land(tmp_path / "landed", _blocks(range(20, 22)))
+    blocks, job = chain.read_blocks(spark, str(tmp_path / "landed")), _job(tmp_path / "tables")
+    job(blocks, 0)
+    before = {r.tx_hash: r.risk_score for r in _stored(spark, tmp_path / "tables")}
+    job.provider = lambda wanted: wanted.select("tx_hash", F.lit('{"risk_score": 1}').alias("content"))
+    job(blocks, 0)
+    assert {r.tx_hash: r.risk_score for r in _stored(spark, tmp_path / "tables")} == before
 
 
 def test_limiter_stream_equals_audit(spark, tmp_path):
