@@ -51,7 +51,8 @@ def masked(data: bytes) -> int:
 
 
 class Encoder:
-    """Encodes texts with the tokenizers library, each distinct piece between blanks once.
+    """Encodes texts with the tokenizers library, each distinct piece between blanks once; for vocabularies whose
+    normalizer lower-cases (``lowers``), pieces that differ in case alone are one.
 
     Both the normalizer and the pre-tokenizer of the vocabulary cut at white space and drop it, so a text's ids are
     those of its pieces one after the other (tested against whole texts).
@@ -63,7 +64,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 2**16 else "<u4"
-        self.known: dict[bytes | str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.lowers = self.tokenizer.encode("ABC XYZ").ids == self.tokenizer.encode("abc xyz").ids
 
     def _learn(self, pieces: list[str]) -> None:
         line = " ".join(pieces)
@@ -81,13 +83,23 @@ class Encoder:
         """The ids of each text as bytes of the width ``kind``."""
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
-        cut = [text.translate(_TO_SPACE).split(" ") for text in texts]
+        cut = [(_lowered(text) if self.lowers else text).translate(_TO_SPACE).split(" ") for text in texts]
         new = [p for p in set().union(*cut) if p not in self.known]
         for at in range(0, len(new), 20_000):
             self._learn(new[at : at + 20_000])
         return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
 
 
+def _lowered(text: str) -> str:
+    """Lower-cased where that changes no ids: of Latin-1 texts, which the normalizer only lower-cases, letter by
+    letter; a special token's name could come to be, so texts that may hold one are left."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else text.lower()
+
+
 _TO_SPACE = str.maketrans(dict.fromkeys("\t\n\r\x0b\x0c", " "))
 
 
