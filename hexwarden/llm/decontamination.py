@@ -80,10 +80,10 @@ def template(text: str | None, code_of) -> tuple[np.ndarray, np.ndarray, np.ndar
     kind = np.where((kind == _UNIT) & (before != _NUMBER), _PLAIN, kind)
     kind[kind == _CAPITAL] = _PLAIN
     more_of_name = (kind == _NAME) & (np.concatenate(([_STOP], kind[:-1])) == _NAME) if len(kind) else kind == _NAME
-    # A run of names is one slot; its value is made of all its words.
+    # A run of names is one slot; its value is the last word, as the first may only begin a sentence.
     starts = np.flatnonzero(~more_of_name)
     if len(starts):
-        value = np.add.reduceat(value, starts)
+        value = value[np.concatenate((starts[1:], [len(value)])) - 1]
         kind = kind[starts]
     keep = kind != _STOP
     kind, value = kind[keep], value[keep]

@@ -6,13 +6,14 @@ anywhere else in the corpus, the same document included; overlaps count, and str
    so only windows with the same anchor can share a string.
 2. Windows that occur more than once are repeated as a whole. What is left to decide are anchors with several different
    windows: their windows, one copy of each, are dealt by anchor.
-3. Shards. A task holds many anchors; it splits their windows into shards, builds the Burrows-Wheeler transform of each
+3. Shards. A task holds many anchors; of a window it takes the cells of starts whose common core another window has; it splits these texts into shards, builds the Burrows-Wheeler transform of each
    and merges them by interleave refinement (``bwt.py``) up to ``LENGTH`` bytes. Blocks of two or more rows are
    the repeated strings. No text is sorted again after its shard.
 4. The runs' places give byte ranges, gathered per document, and the rest of the text is hashed.
 
 An anchor with more than ``ANCHOR_WINDOWS`` different windows (the edge of a passage that very many documents share) is
-not held by one task: its strings are hashed one by one (128 bits) and counted, which aggregates before the shuffle.
+not held by one task: its cells, and the strings of the few cells that stay open, are counted by their bytes or 128-bit
+hashes, which aggregates before the shuffle.
 
 Defined results: null texts are empty, and texts shorter than ``LENGTH`` bytes are kept whole; a row that is repeated
 (same id, same text) counts as a document of its own, as do rows with equal or null ids; an empty table gives an empty
@@ -22,6 +23,7 @@ table; extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +43,9 @@ GRAM = 32
 SHARDS = 8
 #: Text that is merged at a time, and different windows of an anchor that one task takes.
 MERGE_BYTES = 1 << 20
-ANCHOR_WINDOWS = 256
+ANCHOR_WINDOWS = 512
+#: Starts that are looked at together before texts are merged.
+CELL = 24
 
 RUNS = "anchor long, window long, id long, text_hash long, size int, starts array<int>"
 TEXTS = "anchor long, window long, text binary"
@@ -60,15 +64,20 @@ def _slide(values: np.ndarray, width: int, take) -> np.ndarray:
     return take(values[: len(values) - (width - reach)], values[width - reach :]) if reach < width else values
 
 
-def anchored_runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(cuts, anchors): the starts in [cuts[k], cuts[k + 1]) have the anchor hash anchors[k]. ``gram``: a power of 2."""
+def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of every ``gram`` bytes; ``gram`` is a power of 2."""
     hashed, width, power = data.astype(np.uint64), 1, int(_ODD)
     while width < gram:
         hashed = hashed[:-width] * np.uint64(power) + hashed[width:]
         width, power = 2 * width, power * power % 2**64
     hashed ^= hashed >> np.uint64(32)
     hashed *= _MIX
-    hashed ^= hashed >> np.uint64(32)
+    return hashed ^ hashed >> np.uint64(32)
+
+
+def anchored_runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """(cuts, anchors): the starts in [cuts[k], cuts[k + 1]) have the anchor hash anchors[k]."""
+    hashed = _gram_hashes(data, gram)
     least = _slide(hashed, length - gram + 1, np.minimum)
     # A run ends where the smallest hash changes, or where its leftmost place is left behind for an equal one.
     ends = (least[1:] != least[:-1]) | (hashed[: len(least) - 1] == least[:-1])
@@ -78,6 +87,30 @@ def anchored_runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> t
     return cuts, anchors ^ anchors >> np.uint64(29)
 
 
+def anchor_places(texts: list[bytes]) -> np.ndarray:
+    """Where the anchor of each window stands in it: the leftmost smallest hash of the window."""
+    sizes = np.array([len(t) for t in texts])
+    begins = np.cumsum(sizes) - sizes
+    hashed = _gram_hashes(np.frombuffer(b"".join(texts), dtype=np.uint8), GRAM)
+    inside = np.ones(len(hashed), dtype=bool)
+    for k in range(1, GRAM):  # Grams that reach into the next window.
+        inside[begins[1:] - k] = False
+    hashed[~inside] = np.uint64(2**64 - 1)
+    least = np.minimum.reduceat(hashed, begins)
+    owner = np.repeat(np.arange(len(texts)), sizes)[: len(hashed)]
+    hits = np.flatnonzero((hashed == least[owner]) & inside)
+    return hits[np.searchsorted(owner[hits], np.arange(len(texts)))] - begins
+
+
+def cells_of(text: bytes, place: int):
+    """A window's starts in cells that are laid out from the anchor, so they agree between windows of an anchor:
+    (cell, first start, last start, core). The core is what all strings that can start in the cell have in common."""
+    starts = len(text) - LENGTH + 1
+    for cell in range((place - starts + 1) // CELL, place // CELL + 1):
+        latest, earliest = place - cell * CELL, place - cell * CELL - CELL + 1
+        yield cell, max(0, earliest), min(starts - 1, latest), text[latest : earliest + LENGTH]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -139,18 +172,26 @@ def _spans_of(string: np.ndarray, offset: np.ndarray) -> dict[int, list[dict]]:
 
 def _merged(rows: pa.Table) -> pa.RecordBatch:
     """The repeated starts of the windows of some anchors."""
-    texts = rows.column("text").to_pylist()
-    dealt = [list(range(k, len(texts), SHARDS)) for k in range(min(SHARDS, len(texts)))]
+    texts, anchors = rows.column("text").to_pylist(), rows.column("anchor").to_pylist()
+    # Only starts whose cell has its core in another window can be repeated: the rest of a window is not merged.
+    cells = [list(cells_of(text, place)) for text, place in zip(texts, anchor_places(texts).tolist(), strict=True)]
+    cores = Counter((a, cell, core) for a, own in zip(anchors, cells, strict=True) for cell, _, _, core in own)
+    parts = []
+    for i, (a, own) in enumerate(zip(anchors, cells, strict=True)):
+        left = [(first, last) for cell, first, last, core in own if cores[a, cell, core] > 1]
+        if left:
+            begin, end = min(left)[0], max(left)[1]
+            parts.append((i, begin, texts[i][begin : end + LENGTH]))
+    dealt = [parts[k::SHARDS] for k in range(min(SHARDS, len(parts)))]
     shards = [
-        Shard(
-            np.frombuffer(b"".join(texts[i] for i in own), dtype=np.uint8),
-            np.cumsum([0] + [len(texts[i]) for i in own]),
-        )
+        Shard(np.frombuffer(b"".join(t for _, _, t in own), dtype=np.uint8), np.cumsum([0] + [len(t) for _, _, t in own]))
         for own in dealt
     ]
     found = {}
-    for own, (string, offset) in zip(dealt, repeated(shards, LENGTH), strict=True):
-        found.update({own[k]: spans for k, spans in _spans_of(string, offset).items()})
+    for own, (string, offset) in zip(dealt, repeated(shards, LENGTH) if shards else [], strict=True):
+        for k, spans in _spans_of(string, offset).items():
+            i, begin, _ = own[k]
+            found[i] = [{"first": begin + s["first"], "last": begin + s["last"]} for s in spans]
     at = pa.array(sorted(found), pa.int64())
     spans = pa.array([found[i] for i in sorted(found)], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
     columns = [rows.column(c).combine_chunks().take(at) for c in ("anchor", "window")]
@@ -170,30 +211,66 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 begin = end
 
 
+def _crowd_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            texts, out = part.column("text").to_pylist(), []
+            keys = zip(part.column("anchor").to_pylist(), part.column("window").to_pylist(), strict=True)
+            for (anchor, window), text, place in zip(keys, texts, anchor_places(texts).tolist(), strict=True):
+                for cell, first, last, core in cells_of(text, place):
+                    own = text[first : last + LENGTH]
+                    out.append((anchor, window, cell, first, last, core, own))
+            columns = list(zip(*out, strict=True))
+            kinds = [pa.int64()] * 2 + [pa.int32()] * 3 + [pa.binary()] * 2
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["anchor", "window", "cell", "first", "last", "core", "own"])
+
+
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every string of a window by its 128-bit hash."""
-    names = ["anchor", "window", "start", "high", "low"]
+    """Every string of a cell by its 128-bit hash."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 128):
+        for at in range(0, batch.num_rows, 512):
             out = []
-            part = batch.slice(at, 128)
-            for anchor, window, text in zip(*(part.column(c).to_pylist() for c in ("anchor", "window", "text")), strict=True):
-                for start in range(len(text) - LENGTH + 1):
-                    both = xxhash.xxh3_128_intdigest(text[start : start + LENGTH])
-                    out.append((anchor, window, start, _signed(both >> 64), _signed(both & (1 << 64) - 1)))
+            rows = batch.slice(at, 512)
+            for anchor, window, first, text in zip(
+                *(rows.column(c).to_pylist() for c in ("anchor", "window", "first", "own")), strict=True
+            ):
+                for k in range(len(text) - LENGTH + 1):
+                    both = xxhash.xxh3_128_intdigest(text[k : k + LENGTH])
+                    out.append((anchor, window, first + k, _signed(both >> 64), _signed(both & (1 << 64) - 1)))
             if out:
-                columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                arrays = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["anchor", "window", "start", "high", "low"])
 
 
 def _crowded(texts: DataFrame) -> DataFrame:
-    """Spans of the windows of crowded anchors, by counting strings."""
-    strings = texts.mapInArrow(_strings, "anchor long, window long, start long, high long, low long")
-    strings = written(strings, "repeats-strings")
+    """Spans of the windows of crowded anchors, by counting: cells whose core occurs once are out, cells that occur
+    again are repeated as a whole, and of the few others, at the edge of what is shared, each string is counted."""
+    schema = "anchor long, window long, cell int, first int, last int, core binary, own binary"
+    cells = written(texts.mapInArrow(_crowd_cells, schema), "repeats-cells")
+
+    def again(rows: DataFrame, *key: str) -> DataFrame:
+        return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+
+    shared = ["anchor", "cell", "core"]
+    cells = written(cells.join(written(again(cells, *shared), "repeats-cores"), shared).drop("core"), "repeats-shared-cells")
+    same = ["anchor", "cell", "own"]
+    equal = written(again(cells, *same), "repeats-equal-cells")
+    whole = cells.join(equal, same).select("anchor", "window", "first", "last")
+    edge = written(cells.join(equal, same, "left_anti"), "repeats-edge-cells")
+    # Strings that start in a cell can also be found in a whole one: one copy of each is counted with the others.
+    copies = equal.select("anchor", F.lit(None).cast("long").alias("window"), F.lit(0).alias("first"), "own", "cell")
+    there = copies.join(edge.select("anchor", "cell").distinct(), ["anchor", "cell"], "left_semi").drop("cell")
+    asked = edge.select("anchor", "window", "first", "own").unionByName(there)
+    strings = written(
+        asked.mapInArrow(_strings, "anchor long, window long, start long, high long, low long"), "repeats-strings"
+    )
     key = ["anchor", "high", "low"]
-    again = written(strings.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "repeats-again")
-    spans = F.transform(F.collect_set("start"), lambda s: F.struct(s.cast("int").alias("first"), s.cast("int").alias("last")))
-    return strings.join(again, key).groupBy("anchor", "window").agg(spans.alias("spans"))
+    found = strings.where("window IS NOT NULL").join(written(again(strings, *key), "repeats-again"), key)
+    at = F.col("start").cast("int")
+    spans = whole.unionByName(found.select("anchor", "window", at.alias("first"), at.alias("last")))
+    return spans.groupBy("anchor", "window").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
