@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Entries of a cache; who fills one empties it when it has more.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 
 
 def worker_cache(name: str, build: Callable[[], Any]) -> Any:
@@ -32,6 +32,11 @@ def worker_cache(name: str, build: Callable[[], Any]) -> Any:
     return store["cache"]
 
 
+def no_cache() -> None:
+    """For tasks that need none: let go of what an earlier stage left in the worker."""
+    worker_cache("", lambda: None)
+
+
 def unit_hash(seed: int, *columns: Column) -> Column:
     """A number in [0, 1) from the MD5 of the seed and the columns' texts: the same in every run and engine."""
     text = F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(c.cast("string"), F.lit("null")) for c in columns))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from hexwarden.llm.cells import Forest, by_cell, dealt, linked_neighbours, whole_cells
-from hexwarden.llm.common import table
+from hexwarden.llm.common import no_cache, table
 from hexwarden.llm.components import components
 from hexwarden.workspace import written
 
@@ -66,6 +66,7 @@ def fingerprint_of(text: str | None) -> int:
 
 @F.pandas_udf(LongType())
 def _fingerprints(texts: pd.Series) -> pd.Series:
+    no_cache()
     return texts.map(fingerprint_of).astype("int64")
 
 

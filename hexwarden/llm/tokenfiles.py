@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hexwarden.llm.common import CACHE_ENTRIES, table, worker_cache
+from hexwarden.llm.common import table, worker_cache
 from hexwarden.workspace import run_dir, written
 
 VOCABULARY = "word_bpe_49k.json"
@@ -40,6 +40,9 @@ MASK_DELTA = 0xA282EAD8
 #: Bytes of text that one pair of files is made of, and records that one reading task takes at a time.
 FILE_TEXT_BYTES = 32 * 2**20
 
+#: Entries of a worker's cache of encoded pieces; it is emptied when full.
+CACHE_PIECES = 500_000
+
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("n_tokens", "<i8"), ("is_null", "<i8")])
 MANIFEST = "part long, records string, index string, n_docs long, n_tokens long, n_bytes long"
 READ = "part long, doc_id long, start_in_file long, n_tokens long, ids_crc32 long"
@@ -81,7 +84,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of the width ``kind``."""
-        if len(self.known) > CACHE_ENTRIES:
+        if len(self.known) > CACHE_PIECES:
             self.known.clear()
         cut = [(_lowered(text) if self.lowers else text).translate(_TO_SPACE).split(" ") for text in texts]
         new = [p for p in set().union(*cut) if p not in self.known]
