@@ -44,3 +44,9 @@ def calendar(spark: SparkSession, as_of: AsOf = None, days: int = 7) -> DataFram
     last = F.to_date(as_of_column(as_of))
     series = F.sequence(F.date_sub(last, days - 1), last)
     return spark.range(1).select(F.explode(series).alias("day"))
+
+
+def within_days(df: DataFrame, first: Column, last: Column) -> DataFrame:
+    """Rows created on the days ``first`` to ``last``; of a table cut by ``day`` only those folders are opened."""
+    df = df.filter(F.to_date("created_at").between(first, last))
+    return df.filter(F.col("day").between(first, last)) if "day" in df.columns else df

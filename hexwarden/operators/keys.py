@@ -47,15 +47,16 @@ def count_usage(api_keys: DataFrame, request_log: DataFrame, as_of: AsOf = None,
     By default both counters only ever grow. With ``daily`` the day counter holds the calls on the day
     of ``as_of`` instead.
     """
-    used = usage_per_key(request_log).select(
-        F.col("api_key_id").alias("id"), F.col("requests").alias("_n"), F.col("last_used_at").alias("_last")
+    today = F.to_date("created_at") == F.to_date(as_of_column(as_of))
+    used = (
+        request_log.filter(F.col("api_key_id").isNotNull())
+        .groupBy(F.col("api_key_id").alias("id"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.max("created_at").alias("_last"), F.count_if(today).alias("_today"))
     )
     rows = api_keys.join(used, "id", "left")
     added = F.coalesce("_n", F.lit(0))
     if daily:
-        today = request_log.filter(F.to_date("created_at") == F.to_date(as_of_column(as_of)))
-        of_day = usage_per_key(today).select(F.col("api_key_id").alias("id"), F.col("requests").alias("_today"))
-        rows = rows.join(of_day, "id", "left").withColumn("requests_today", F.coalesce("_today", F.lit(0)))
+        rows = rows.withColumn("requests_today", F.coalesce("_today", F.lit(0)))
     else:
         rows = rows.withColumn("requests_today", F.col("requests_today") + added)
     return (

@@ -4,7 +4,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hexwarden.functions.clock import AsOf, as_of_column, calendar, on_day_of
+from hexwarden.functions.clock import AsOf, as_of_column, calendar, on_day_of, within_days
 from hexwarden.functions.risk import HISTOGRAM, is_scored, risk_band
 from hexwarden.functions.texts import email_domain
 from hexwarden.operators.waitlist import APPROVED, PENDING, REJECTED
@@ -47,8 +47,8 @@ def public_stats(protocols: DataFrame, transactions: DataFrame, alerts: DataFram
 
 def requests_on_day(request_log: DataFrame, as_of: AsOf = None) -> DataFrame:
     """Logged requests on the day of ``as_of``. The day is a filter, so the scan skips other days."""
-    today = request_log.filter(on_day_of(F.col("created_at"), as_of))
-    return today.agg(F.count(F.lit(1)).alias("requests_today"))
+    day = F.to_date(as_of_column(as_of))
+    return within_days(request_log, day, day).agg(F.count(F.lit(1)).alias("requests_today"))
 
 
 def admin_overview(
@@ -93,7 +93,7 @@ def daily_requests(spark: SparkSession, request_log: DataFrame, as_of: AsOf = No
     last = F.to_date(as_of_column(as_of))
     when = F.to_date("created_at")
     counted = (
-        request_log.filter((when >= F.date_sub(last, days - 1)) & (when <= last))
+        within_days(request_log, F.date_sub(last, days - 1), last)
         .groupBy(when.alias("day"))
         .agg(F.count(F.lit(1)).alias("requests"))
     )

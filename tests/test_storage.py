@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from hexwarden import schemas
-from hexwarden.plans import feeds
+from hexwarden.plans import feeds, stats
 from hexwarden.sources import chain, eventlog, tables
 
 
@@ -73,6 +73,19 @@ def test_request_log_is_cut_by_day(spark, tmp_path):
     assert tables.read_table(spark, str(tmp_path), "request_log").filter("day = date'2024-01-02'").first().id == 2
 
 
+def test_reports_open_only_their_days(spark, tmp_path):
+    df = spark.range(40).selectExpr("id", "id % 3 AS api_key_id", "'/api/x' AS endpoint", "'GET' AS method", "200 AS status_code", "5 AS response_ms", "timestamp('2024-01-01') + make_interval(0, 0, 0, cast(id AS int)) AS created_at")
+    tables.write_batch(df, str(tmp_path), "request_log", 0)
+    log = tables.read_table(spark, str(tmp_path), "request_log")
+    for report, want in (
+        (stats.requests_on_day(log, "2024-01-05 10:00:00"), [(1,)]),
+        (stats.daily_requests(spark, log, "2024-01-05 10:00:00", 2), [("2024-01-04", 1), ("2024-01-05", 1)]),
+    ):
+        text = report._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(day" in text
+        assert [tuple(r) for r in report.collect()] == want
+
+
 def test_landed_blocks(spark, tmp_path):
     tx = {"hash": "0x1", "blockNumber": "0xa", "from": "0xf", "to": None, "value": "0x0", "gas": "0x1", "input": "0x", "extra": 1}
     blocks = [{"number": "0xa", "transactions": [tx, {**tx, "hash": "0x2"}]}, {"number": "0x9", "transactions": []}, {"number": "0x10"}]
