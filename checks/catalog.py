@@ -613,6 +613,19 @@ def stream_runs(spark, sf):
     )
 
 
+@query
+def stream_cursor(spark, sf):
+    cursors = stream_ingest.read_cursors(spark, run_monitor(spark, sf))
+    return polling.with_cursors(v.protocols(spark, sf), cursors).select("id", "last_seen_block")
+
+
+@query
+def stream_events(spark, sf):
+    lines = stream_ingest.read_event_lines(spark, run_monitor(spark, sf))
+    about = eventlog.parse_events(lines, "line").filter(F.col("event") != events.POLLED)
+    return about.groupBy("event").agg(F.count(F.lit(1)).alias("lines"))
+
+
 @query
 def stream_rate_limit(spark, sf):
     """The calls land in three parts, in order of time; each is taken up by a new run of the same stream."""

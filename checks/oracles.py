@@ -449,6 +449,13 @@ QUERIES = {
     "stream_alerts": _STREAM_SCORES + f"""
         SELECT l.tx_hash, l.risk_score, {_MESSAGE.format(name='p.name', score='l.risk_score', hash='l.tx_hash')} AS message
         FROM landed l JOIN protocols p ON p.id = l.protocol_id WHERE l.risk_score >= 70""",
+    "stream_cursor": """
+        SELECT id, CASE WHEN is_active THEN greatest(last_seen_block, (SELECT max(block_number) FROM raw_tx)) ELSE last_seen_block END
+               AS last_seen_block FROM protocols""",
+    "stream_events": _STREAM_SCORES + """
+        SELECT 'transaction.fetched' AS event, count(*) AS lines FROM landed
+        UNION ALL SELECT 'transaction.scored', count(*) FROM landed
+        UNION ALL SELECT 'alert.created', count(*) FROM landed WHERE risk_score >= 70""",
     "stream_runs": _STREAM_SCORES + """
         SELECT (SELECT count(DISTINCT block_number) FROM raw_tx) AS blocks, count(*) AS transactions_found,
                count(*) FILTER (WHERE risk_score >= 70) AS alerts_fired,

@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hexwarden import schemas
-from hexwarden.functions.clock import AsOf
+from hexwarden.functions.clock import AsOf, as_of_column
 from hexwarden.functions.hexnum import hex_to_long
 from hexwarden.functions.risk import ALERT_THRESHOLD
-from hexwarden.operators import alerts as alert_ops, ingest, matching
+from hexwarden.operators import alerts as alert_ops, events, ingest, matching
 from hexwarden.operators.ids import with_dense_ids
 from hexwarden.operators.rules import RuleWeights, rule_scores
 from hexwarden.operators.scoring import ScoreProvider, apply_scores, resolve_scores, scoring_requests
@@ -34,7 +34,7 @@ POLL_SECONDS, POLL_SECONDS_MIN = 15, 10  # Fixed values.
 RUN_BITS, BATCH_BITS, ROW_BITS = 8, 25, 30
 
 OUTBOX = "outbox"
-RUNS = "runs"
+RUNS, CURSORS, EVENTS = "runs", "cursors", "events"
 STAGED, NUMBERED, ANSWERS = "staged", "numbered", "answers"
 
 
@@ -89,21 +89,25 @@ class MonitorJob:
         number = hex_to_long(F.col("number"))
         landed = blocks.agg(F.min(number), F.max(number), F.count(F.lit(1))).first()
         registry = self.registry(spark)
-        found = fired = 0
+        active = registry.filter("is_active")
+        found, fired, lines = 0, 0, None
         if landed[0] is not None:
-            active = registry.filter("is_active")
+            cursors = active.select(F.col("id").alias("protocol_id"), F.lit(landed[1]).alias("last_seen_block"))
+            tables.write_batch(cursors, self.root, CURSORS, batch)
             staged = self._kept(
                 spark, STAGED, batch, schemas.STAGED, lambda: self._matches(blocks, active, (landed[0], landed[1]))
             )
             if not staged.isEmpty():
-                found, fired = self._store(spark, staged, registry, batch)
-        checked = registry.filter("is_active").count()
+                found, fired, lines = self._store(spark, staged, registry, batch)
+        checked = active.count()
         duration = int((time.monotonic() - started) * 1000)
         run = spark.createDataFrame([(batch, *landed, checked, found, fired, duration)], schemas.RUNS)
         tables.write_batch(run, self.root, RUNS, batch)
+        polled = events.poll_events(run, as_of_column(self.as_of))
+        tables.write_batch(polled if lines is None else lines.unionByName(polled), self.root, EVENTS, batch)
 
-    def _store(self, spark: SparkSession, staged: DataFrame, registry: DataFrame, batch: int) -> tuple[int, int]:
-        """Write the new transactions, their alerts and messages; returns how many of the first two."""
+    def _store(self, spark: SparkSession, staged: DataFrame, registry: DataFrame, batch: int) -> tuple:
+        """Write the new transactions, their alerts and messages; returns how many of the first two, and their events."""
         known = tables.read_table(spark, self.root, "transactions", but_batch=batch)
         fresh = ingest.absent_from(staged, known, "tx_hash")
         base = F.lit(self.first_id(batch)).cast("bigint")
@@ -122,7 +126,7 @@ class MonitorJob:
         tables.write_batch(raised.select(*schemas.ALERTS.fieldNames()), self.root, "alerts", batch)
         alerts = tables.read_table(spark, self.root, "alerts", batch_id=batch)
         tables.write_batch(alert_ops.outbox(alerts, stored, registry), self.root, OUTBOX, batch)
-        return stored.count(), alerts.count()
+        return stored.count(), alerts.count(), events.monitor_events(stored, alerts, registry)
 
     def _rules(self, spark: SparkSession, rows: DataFrame, known: DataFrame) -> DataFrame:
         """Scores by the rules; of the stored transactions only those of the batch's senders are counted."""
@@ -167,5 +171,16 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
     return tables.read_table(spark, root, RUNS, schemas.RUNS)
 
 
+def read_cursors(spark: SparkSession, root: str) -> DataFrame:
+    """The last block seen for each protocol; ``polling.with_cursors`` puts it into the registry."""
+    cursors = tables.read_table(spark, root, CURSORS, schemas.CURSORS)
+    return cursors.groupBy("protocol_id").agg(F.max("last_seen_block").alias("last_seen_block"))
+
+
+def read_event_lines(spark: SparkSession, root: str) -> DataFrame:
+    """Log lines of all batches, for ``eventlog.parse_events(lines, "line")``."""
+    return tables.read_table(spark, root, EVENTS, schemas.EVENT_LINES)
+
+
 def read_outbox(spark: SparkSession, root: str) -> DataFrame:
     return tables.read_table(spark, root, OUTBOX, schemas.OUTBOX)

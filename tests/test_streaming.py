@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hexwarden import schemas
 from hexwarden.operators import limiter
-from hexwarden.sources import chain, tables
+from hexwarden.sources import chain, eventlog, tables
 from hexwarden.streaming import ingest, limits
 
 WATCHED = {1: "0x" + "a" * 40, 2: "0x" + "b" * 40, 3: "0x" + "c" * 40}
@@ -90,6 +90,10 @@ def test_stream_equals_batch_and_survives_replays(spark, tmp_path):
     runs = {r.batch_id: r for r in ingest.read_runs(spark, str(root)).collect()}
     assert [runs[n].blocks for n in (0, 1, 2)] == [5, 5, 2] and sum(r.transactions_found for r in runs.values()) == len(rows)
     assert sum(r.alerts_fired for r in runs.values()) == len(alerts) and runs[0].protocols_checked == 3
+    assert {tuple(r) for r in ingest.read_cursors(spark, str(root)).collect()} == {(i, 111) for i in WATCHED}
+    lines = eventlog.parse_events(ingest.read_event_lines(spark, str(root)), "line").groupBy("event").count()
+    want_lines = {"transaction.fetched": len(rows), "transaction.scored": len(rows), "alert.created": len(alerts), "worker.poll.complete": 3}
+    assert {r.event: r["count"] for r in lines.collect()} == want_lines
 
     # Nothing new: nothing happens. A block landed again under another name adds no row, no alert.
     _run(spark, landed, _job(root), tmp_path)
