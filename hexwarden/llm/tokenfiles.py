@@ -41,7 +41,7 @@ MASK_DELTA = 0xA282EAD8
 FILE_TEXT_BYTES = 32 * 2**20
 
 #: Entries of a worker's cache of encoded pieces; it is emptied when full.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 700_000
 
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("n_tokens", "<i8"), ("is_null", "<i8")])
 MANIFEST = "part long, records string, index string, n_docs long, n_tokens long, n_bytes long"
@@ -88,8 +88,13 @@ class Encoder:
             self.known.clear()
         cut = [(_lowered(text) if self.lowers else text).translate(_TO_SPACE).split(" ") for text in texts]
         new = [p for p in set().union(*cut) if p not in self.known]
-        for at in range(0, len(new), 20_000):
-            self._learn(new[at : at + 20_000])
+        # A stop or comma behind a letter is a piece of its own to the pre-tokenizer.
+        ended = [p for p in new if p[-1:] in (".", ",") and p[-2:-1].isalpha()]
+        plain = {p[:-1] for p in ended}.union(new, ".,").difference(ended, self.known)
+        plain = list(plain)
+        for at in range(0, len(plain), 20_000):
+            self._learn(plain[at : at + 20_000])
+        self.known.update((p, self.known[p[:-1]] + self.known[p[-1]]) for p in ended)
         return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
 
 
