@@ -45,7 +45,7 @@ SHARDS = 8
 MERGE_BYTES = 1 << 20
 ANCHOR_WINDOWS = 512
 #: Starts that are looked at together before texts are merged.
-CELL = 24
+CELL = 16
 
 RUNS = "anchor long, window long, id long, text_hash long, size int, starts array<int>"
 TEXTS = "anchor long, window long, text binary"
