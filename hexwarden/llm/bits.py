@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-BITS = 26  # 8 MB
+BITS = 24  # 2 MB
 
 
 def bit_table(keys: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
