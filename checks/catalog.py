@@ -24,6 +24,7 @@ from hexwarden.operators import (
 )
 from hexwarden.operators.ids import highest_id
 from hexwarden.plans import feeds, requests, stats
+from hexwarden.session import SETTINGS
 from hexwarden.sources import chain, eventlog, tables
 from hexwarden.streaming import ingest as stream_ingest, limits as stream_limits
 from hexwarden.workspace import run_dir, written
@@ -629,6 +630,7 @@ def stream_events(spark, sf):
 @query
 def stream_rate_limit(spark, sf):
     """The calls land in three parts, in order of time; each is taken up by a new run of the same stream."""
+    spark.conf.set(stream_limits.STATE_STORE, SETTINGS[stream_limits.STATE_STORE])
     root, calls = run_dir(spark, "calls"), v.request_log(spark, sf)
     low, high = (F.unix_micros(F.col(c)) for c in ("low", "high"))
     ends = calls.agg(F.min("created_at").alias("low"), F.max("created_at").alias("high")).select(low, high).first()

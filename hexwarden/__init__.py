@@ -1,7 +1,7 @@
 """Transaction monitoring as Spark jobs: ingest, score, alert, report, usage control.
 
-Every operator is a function from DataFrames to a DataFrame. Nothing here collects rows to the
-driver; the clock, thresholds and limits are arguments.
+Every operator is a function from DataFrames to a DataFrame. What reaches the driver is counts and
+other single rows, never rows of a table; the clock, thresholds and limits are arguments.
 """
 
 import sys

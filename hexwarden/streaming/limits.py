@@ -10,6 +10,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from hexwarden.operators.limiter import KeyReplay, Limits
 from hexwarden.session import SETTINGS
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
 
 class LimiterProcessor(StatefulProcessor):
     """Keeps the admitted times of the last day of each key, at most the day limit."""
@@ -40,10 +42,10 @@ def limit_stream(
 ) -> DataFrame:
     """Decisions on a stream of calls that arrives in order of time (within a micro-batch in any order).
 
-    This kind of state needs the RocksDB store, which is chosen for the session.
+    This kind of state needs the RocksDB store, which the session chooses (``session.build_session`` does).
     """
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    calls.sparkSession.conf.set(provider, SETTINGS[provider])
+    if calls.sparkSession.conf.get(STATE_STORE) != SETTINGS[STATE_STORE]:
+        raise ValueError(f"the session needs {STATE_STORE} = {SETTINGS[STATE_STORE]}")
     types = {c: calls.schema[c].dataType.simpleString() for c in (key, ident)}
     schema = (
         f"{key} {types[key]}, {ident} {types[ident]}, at bigint, allowed boolean, "
