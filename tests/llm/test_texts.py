@@ -1,6 +1,7 @@
 """Repeated strings, passages, benchmark items and token files against brute force and exact round trips."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -103,6 +104,13 @@ def test_compact_windows_are_the_ranges_of_minima():
         assert ordered(zip(*(x.tolist() for x in passages.compact_windows(values, width)), strict=True)) == ordered(want)
 
 
+@pytest.mark.parametrize("similarity, most", [(0.8, 0.0017), (0.85, 0.0005)])
+def test_few_starts_are_not_proposed(similarity, most):
+    n = passages.HASHES
+    missed = sum(math.comb(n, k) * similarity**k * (1 - similarity) ** (n - k) for k in range(passages.ENOUGH))
+    assert missed < most
+
+
 def test_passages_are_found_and_others_left(frame):
     rng = random.Random(5)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(3000)]
