@@ -136,6 +136,19 @@ def test_passages_are_found_and_others_left(frame):
     assert passages.near_passages(df.limit(0)).count() == 0
 
 
+def test_every_partner_of_a_passage_is_linked(frame):
+    rng = random.Random(8)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    text, other = words(125), words(70)
+    docs = {5: text[:125], 3: text[:60] + words(30), 9: words(30) + text[55:120], 6: other + words(9), 7: words(9) + other, 8: words(90)}
+    rows = passages.near_passages(frame([(i, " ".join(w), "a", "b") for i, w in docs.items()], DOCS)).collect()
+    assert {(r.doc_id, r.other_id) for r in rows} == {(5, 3), (3, 5), (5, 9), (9, 5), (6, 7), (7, 6)} and len(rows) == 6
+    spans = {r.other_id: (r.start_word, r.end_word) for r in rows if r.doc_id == 5}
+    # Similarity leaves room for up to five words more at each end.
+    assert spans[3][0] == 0 and 60 <= spans[3][1] <= 65 and 50 <= spans[9][0] <= 55 and 120 <= spans[9][1] <= 125
+    assert {(r.doc_id, r.class_id, r.n_links) for r in rows} == {(5, 3, 2), (3, 3, 1), (9, 3, 1), (6, 6, 1), (7, 6, 1)}
+
+
 # Benchmark
 
 
