@@ -5,13 +5,16 @@ sentence) turn into placeholders, all other words are lower-cased. Windows of ``
 and benchmark items are joined on their hash, so a question asked again with other numbers or names still meets its
 original. On each alignment (difference of positions) the slots are compared: an item's value must stand for one value
 of the document everywhere, or the alignment is dropped. A document holds an item if the windows that remain cover at
-least ``COVERAGE`` of the item's.
+least ``COVERAGE`` of all the item's.
+
+Windows in which fewer than half of the tokens are plain words say little as templates. They are joined on their literal
+values, and as templates only on alignments that other windows have found.
 
 Documents emit only windows that pass a bit table of the benchmark's hashes. The table has ``TABLE_BITS`` bits
 whatever the benchmark's size; what passes by chance is removed by the join.
 
-Defined results: an item shorter than a window is one window of its own length; windows in which fewer than half of the
-tokens are plain words are not used, and an item without usable windows matches nothing; null and empty texts match
+Defined results: an item shorter than a window is one window of its own length; an item without any plain word matches
+nothing, and one whose windows all have few plain words is found with its own values only; null and empty texts match
 nothing; ids may repeat (a repeated id is judged once, on all its rows together) or be null; empty tables give an empty
 result; extra columns are not read.
 """
@@ -19,6 +22,7 @@ result; extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +44,21 @@ UNITS = frozenset(
     "litre litres s sec second seconds min minute minutes h hour hours day days week weeks month months year years "
     "degree degrees percent cent cents dollar dollars euro euros pound pounds".split()
 )
+#: Words that open a sentence with a capital and are no names.
+OPENERS = frozenset(
+    "a an the this that these those there here i he she it we you they his her its our your their my if when while as "
+    "after before since because although though until unless and but or so then thus hence how what which who whom whose "
+    "where why in on at by for from of to with without under over between during each every all some any no not is are "
+    "was were do does did has have had can could should would let now also once both either neither".split()
+)
 _TOKENS = regex.compile(r"[\p{L}\p{M}]+|\p{N}+(?:[.,]\p{N}+)*|[.!?:\n]|[%$€£°]")
-_PLAIN, _NUMBER, _UNIT, _CAPITAL, _STOP, _NAME = range(6)
+_PLAIN, _NUMBER, _UNIT, _CAPITAL, _STOP, _NAME, _OPENER = range(7)
+#: Kinds of windows: joined as templates, joined on literal values, templates looked for on known alignments.
+_RICH, _LITERAL, _POOR = range(3)
 _PLACEHOLDER = {_NUMBER: 0x9E3779B97F4A7C15, _UNIT: 0xC2B2AE3D27D4EB4F, _NAME: 0x165667B19E3779F9}
 _BASE = np.uint64(0x100000001B3 * 2 + 1)
 
-WINDOW_SCHEMA = "id long, hash long, pos long, n_windows long, slots array<long>"
+WINDOW_SCHEMA = "id long, hash long, pos long, n_windows long, slots array<long>, kind int, second boolean"
 
 
 def _token_code(token: str) -> int:
@@ -58,7 +71,7 @@ def _token_code(token: str) -> int:
     elif token.lower() in UNITS:
         kind = _UNIT
     elif first.isupper() and len(token) > 1 and token[1:].islower():
-        kind = _CAPITAL
+        kind = _OPENER if token.lower() in OPENERS else _CAPITAL
     else:
         kind = _PLAIN
     return (xxhash.xxh64_intdigest(token.lower().encode()) >> 4) << 3 | kind
@@ -70,50 +83,118 @@ class _Codes(dict):
         return code
 
 
-def template(text: str | None, code_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template hash, slot value and plain flag of each template token."""
-    tokens = _TOKENS.findall(text or "")
-    raw = np.fromiter(map(code_of, tokens), dtype=np.int64, count=len(tokens))
-    kind, value = raw & 7, (raw >> 3).astype(np.uint64)
-    before = np.concatenate(([_STOP], kind[:-1])) if len(kind) else kind
-    kind = np.where((kind == _CAPITAL) & (before != _STOP), _NAME, kind)
-    kind = np.where((kind == _UNIT) & (before != _NUMBER), _PLAIN, kind)
-    kind[kind == _CAPITAL] = _PLAIN
+class Reading(NamedTuple):
+    """Template tokens: template hash, slot value, plain flag, whether a sentence's first word is (part of) one, and the
+    place of the first word."""
+
+    hashed: np.ndarray
+    value: np.ndarray
+    plain: np.ndarray
+    opens: np.ndarray
+    place: np.ndarray
+
+
+def _template(kind: np.ndarray, value: np.ndarray, opens: np.ndarray) -> Reading:
     more_of_name = (kind == _NAME) & (np.concatenate(([_STOP], kind[:-1])) == _NAME) if len(kind) else kind == _NAME
     # A run of names is one slot; its value is the last word, as the first may only begin a sentence.
-    starts = np.flatnonzero(~more_of_name)
-    if len(starts):
-        value = value[np.concatenate((starts[1:], [len(value)])) - 1]
-        kind = kind[starts]
+    place = np.flatnonzero(~more_of_name)
+    if len(place):
+        value = value[np.concatenate((place[1:], [len(value)])) - 1]
+        kind = kind[place]
     keep = kind != _STOP
-    kind, value = kind[keep], value[keep]
+    kind, value, place = kind[keep], value[keep], place[keep]
     hashed = value.copy()
     for of, placeholder in _PLACEHOLDER.items():
         hashed[kind == of] = np.uint64(placeholder)
-    return hashed, value, kind == _PLAIN
+    return Reading(hashed, value, kind == _PLAIN, opens[place], place)
+
+
+def readings(text: str | None, code_of) -> list[Reading]:
+    """The template with sentences' first words as plain words."""
+    tokens = _TOKENS.findall(text or "")
+    raw = np.fromiter(map(code_of, tokens), dtype=np.int64, count=len(tokens))
+    kind, value = raw & 7, (raw >> 3).astype(np.uint64)
+    before = np.concatenate(([_STOP], kind[:-1])) if len(kind) else kind
+    kind = np.where(((kind == _CAPITAL) | (kind == _OPENER)) & (before != _STOP), _NAME, kind)
+    kind = np.where((kind == _UNIT) & (before != _NUMBER), _PLAIN, kind)
+    kind[kind == _OPENER] = _PLAIN
+    opens = kind == _CAPITAL
+    out = [_template(np.where(opens, _PLAIN, kind), value, opens)]
+    return out
+
 
+def _sums(flags: np.ndarray, size: int) -> np.ndarray:
+    counts = np.concatenate(([0], np.cumsum(flags)))
+    return counts[size:] - counts[:-size]
 
-def windows(hashed: np.ndarray, plain: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the usable windows of ``size`` tokens."""
+
+def hashes(hashed: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every window of ``size`` tokens."""
     n = len(hashed) - size + 1
-    if n < 1 or size < 1:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     total = np.full(n, size, dtype=np.uint64)
     for k in range(size):
         total = total * _BASE + hashed[k : k + n]
     total ^= total >> np.uint64(32)
     total *= np.uint64(0xD6E8FEB86659FD93)
     total ^= total >> np.uint64(32)
-    counts = np.concatenate(([0], np.cumsum(plain)))
-    at = np.flatnonzero(2 * (counts[size:] - counts[:-size]) >= size)
-    return at, total[at]
+    return total
+
+
+def windows(reading: Reading, size: int, second: bool) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, positions, hashes). The second reading has those that differ from the first one's."""
+    if size < 1 or len(reading.hashed) < size:
+        return []
+    found = hashes(reading.hashed, size)
+    rich = 2 * _sums(reading.plain, size) >= size
+    own = _sums(reading.opens, size) > 0 if second else np.ones(len(found), dtype=bool)
+    rich_at, poor_at = np.flatnonzero(rich & own), np.flatnonzero(~rich & own)
+    out = [(_RICH, rich_at, found[rich_at]), (_POOR, poor_at, found[poor_at])]
+    if len(poor_at) and not second:
+        out.insert(1, (_LITERAL, poor_at, ~hashes(reading.value, size)[poor_at]))
+    return out
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    ids, hashes, at, counts, slots = zip(*rows, strict=True)
-    columns = [pa.array(c, pa.int64()) for c in (ids, hashes, at, counts)]
-    columns.append(pa.array(slots, pa.list_(pa.int64())))
-    return pa.RecordBatch.from_arrays(columns, names=["id", "hash", "pos", "n_windows", "slots"])
+    ids, found, at, counts, slots, kinds, second = zip(*rows, strict=True)
+    columns = [pa.array(c, pa.int64()) for c in (ids, found, at, counts)]
+    columns += [pa.array(slots, pa.list_(pa.int64())), pa.array(kinds, pa.int32()), pa.array(second, pa.bool_())]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in WINDOW_SCHEMA.split(", ")])
+
+
+def _item_rows(item_id: int | None, read: list[Reading]) -> Iterator[tuple]:
+    """All windows of an item; ``pos`` is that of the first reading, and a window of the second one stands for all
+    places of the first that its first token holds."""
+    plain, sizes = read[0].plain, [min(WINDOW, len(r.hashed)) for r in read]
+    n = len(plain) - sizes[0] + 1
+    if not plain.any():
+        return
+    for k, (r, size) in enumerate(zip(read, sizes, strict=True)):
+        place = np.searchsorted(read[0].place, r.place).tolist()
+        last = len(place) - size
+        for kind, at, found in windows(r, size, k > 0):
+            for p, h in zip(at.tolist(), found.view(np.int64).tolist(), strict=True):
+                slots = r.value[p : p + size][~r.plain[p : p + size]].astype(np.int64).tolist()
+                for pos in range(place[p], min(n, place[p + 1] if p < last else n)):
+                    yield item_id, h, pos, n, slots, kind, k > 0
+
+
+def _document_rows(doc_id: int | None, read: list[Reading], sizes: list[int], table_of_bits: np.ndarray) -> Iterator[tuple]:
+    """Windows whose bit is set; poor templates only beside others."""
+    for size in sizes:
+        met = False
+        kept = []
+        for k, r in enumerate(read):
+            for kind, at, found in windows(r, size, k > 0):
+                hit = table_of_bits[(found >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+                met |= kind != _POOR and bool(hit.any())
+                kept.append((k, r, kind, at[hit], found[hit]))
+        if not met:
+            continue
+        for k, r, kind, at, found in kept:
+            place = np.searchsorted(read[0].place, r.place[at]).tolist()
+            for p, pos, h in zip(at.tolist(), place, found.view(np.int64).tolist(), strict=True):
+                slots = r.value[p : p + size][~r.plain[p : p + size]].astype(np.int64).tolist()
+                yield doc_id, h, pos, 0, slots, kind, k > 0
 
 
 def _emitter(sizes: list[int] | None, bits: np.ndarray | None):
@@ -129,16 +210,8 @@ def _emitter(sizes: list[int] | None, bits: np.ndarray | None):
                 for doc_id, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     if len(codes) > CACHE_ENTRIES:
                         codes.clear()
-                    hashed, value, plain = template(text, codes.__getitem__)
-                    for size in sizes or [min(WINDOW, len(hashed))]:
-                        at, found = windows(hashed, plain, size)
-                        n = len(at)
-                        if table_of_bits is not None:
-                            hit = table_of_bits[(found >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
-                            at, found = at[hit], found[hit]
-                        for p, h in zip(at.tolist(), found.view(np.int64).tolist(), strict=True):
-                            slots = value[p : p + size][~plain[p : p + size]].astype(np.int64).tolist()
-                            out.append((doc_id, h, p, n, slots))
+                    read = readings(text, codes.__getitem__)
+                    out.extend(_item_rows(doc_id, read) if sizes is None else _document_rows(doc_id, read, sizes, table_of_bits))
                 if len(out) > 10_000:
                     yield _batch(out)
                     out = []
@@ -155,7 +228,8 @@ def _named(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes = _Codes()
     for batch in batches:
-        sizes = {min(WINDOW, len(template(t, codes.__getitem__)[0])) for t in batch.column("text").to_pylist()}
+        texts = batch.column("text").to_pylist()
+        sizes = {min(WINDOW, len(r.hashed)) for t in texts for r in readings(t, codes.__getitem__)}
         yield pa.RecordBatch.from_arrays([pa.array(sorted(sizes), pa.int64())], names=["size"])
 
 
@@ -169,33 +243,54 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", item_col="i
     marked = np.zeros(2**TABLE_BITS, dtype=bool)  # The table has a fixed size, so has what is collected for it.
     marked[theirs.select(slot.alias("slot")).distinct().toPandas()["slot"].to_numpy(dtype=np.int64)] = True
     found = _named(docs, id_col, text_col).mapInArrow(_emitter(sizes or [WINDOW], np.packbits(marked)), WINDOW_SCHEMA)
-    found = found.select(F.col("id").alias("doc_id"), "hash", F.col("pos").alias("doc_pos"), F.col("slots").alias("ours"))
+    found = found.select(
+        F.col("id").alias("doc_id"), "hash", F.col("pos").alias("doc_pos"), F.col("slots").alias("ours"),
+        F.col("kind").alias("our_kind"), F.col("second").alias("our_second"),
+    )
+    found = written(found, "templates-found")
     asked_windows = theirs.select(
-        F.col("id").alias("item_id"), "hash", "pos", F.col("n_windows").alias("item_windows"), "slots"
+        F.col("id").alias("item_id"), "hash", "pos", F.col("n_windows").alias("item_windows"), "slots", "kind", "second"
     )
-    matched = found.join(asked_windows, "hash").where(F.size("ours") == F.size("slots"))
-    matched = matched.select(
-        "doc_id", "item_id", "item_windows", "pos", "doc_pos", (F.col("doc_pos") - F.col("pos")).alias("shift"),
+    good_pair = (F.size("ours") == F.size("slots")) & (F.col("kind") == F.col("our_kind"))
+    pairs_of = [
+        "doc_id", "item_id", "item_windows", "pos", "doc_pos", (F.col("doc_pos") - F.col("pos")).alias("shift"), "kind",
+        ((F.col("kind") == _POOR) | F.col("second") | F.col("our_second")).alias("extra"),
         F.arrays_zip("slots", "ours").alias("pairs"),
-    )
-    matched = written(matched, "templates-matched")
-
-    # Slot consistency on each alignment.
+    ]
+    matched = found.where(F.col("our_kind") != _POOR).join(asked_windows.where(F.col("kind") != _POOR), "hash")
+    matched = written(matched.where(good_pair).select(*pairs_of), "templates-matched")
+    poor = asked_windows.where(F.col("kind") == _POOR)
+    if not poor.isEmpty():
+        # On the alignments found, what an item's windows of few plain words would be at their place in the document.
+        at = matched.select(F.col("doc_id").alias("_doc"), F.col("item_id").alias("_item"), "shift").distinct()
+        due = at.join(poor, F.col("_item").eqNullSafe(F.col("item_id"))).withColumn("_at", F.col("pos") + F.col("shift"))
+        due = due.drop("_item", "shift").withColumnRenamed("hash", "_hash")
+        more = due.join(
+            found.where(F.col("our_kind") == _POOR),
+            F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_at") == F.col("doc_pos")) & (F.col("_hash") == F.col("hash")),
+        )
+        matched = written(matched.unionByName(more.where(good_pair).select(*pairs_of)), "templates-all")
+
+    # Slot consistency on each alignment, of the rich windows of the first reading and of all.
     line = ["doc_id", "item_id", "shift"]
-    pairs = matched.select(*line, F.explode("pairs").alias("pair")).select(*line, "pair.slots", "pair.ours").distinct()
-    values = pairs.groupBy(*line, "slots").agg(F.count("*").alias("n"), F.max(F.col("ours") != F.col("slots")).alias("new"))
-    lines = values.groupBy(*line).agg((F.max("n") > 1).alias("broken"), F.max("new").alias("changed"))
-    lines = lines.select(*(F.col(c).alias(f"_{c}") for c in line), "broken", "changed")
+    pairs = matched.where(F.col("kind") != _LITERAL).select(*line, "extra", F.explode("pairs").alias("pair"))
+    pairs = pairs.select(*line, "pair.slots", "pair.ours", "extra").groupBy(*line, "slots", "ours").agg(F.min("extra").alias("extra"))
+    values = pairs.groupBy(*line, "slots").agg(F.count("*").alias("n_all"), F.count_if(~F.col("extra")).alias("n"))
+    lines = values.groupBy(*line).agg((F.max("n") > 1).alias("broken"), (F.max("n_all") > 1).alias("broken_all"))
+    lines = lines.select(*(F.col(c).alias(f"_{c}") for c in line), "broken", "broken_all")
     same = F.lit(True)
     for c in line:
         same = same & matched[c].eqNullSafe(lines[f"_{c}"])
-    good = matched.join(lines, same, "left").where(~F.coalesce("broken", F.lit(False)))
+    broken = F.col("broken") | (F.col("extra") & F.col("broken_all"))
+    kept = (F.col("kind") == _LITERAL) | ~F.coalesce(broken, F.lit(False))
+    changed = F.exists("pairs", lambda p: p["slots"] != p["ours"])
+    good = matched.join(lines, same, "left").where(kept).withColumn("changed", changed)
 
     # The places of an item are bounded by its length.
     held = good.groupBy("doc_id", "item_id").agg(
         F.count_distinct("pos").alias("windows"),
         F.max("item_windows").alias("item_windows"),
-        F.max(F.coalesce("changed", F.lit(False))).alias("changed"),
+        F.max("changed").alias("changed"),
         F.min("doc_pos").alias("first_token"),
         F.max("doc_pos").alias("last_token"),
     )

@@ -170,6 +170,20 @@ def test_items_are_found_also_with_other_values(frame):
     assert decontamination.contaminated(df.limit(0), asked).count() == decontamination.contaminated(df, asked.limit(0)).count() == 0
 
 
+def _held(frame, items, docs):
+    df = frame([(*d, "x") for d in docs], "doc_id long, text string, hash string")
+    return {(r.doc_id, r.item_id): r for r in decontamination.contaminated(df, frame(items, "item_id long, text string")).collect()}
+
+
+def test_items_of_few_plain_words_are_found(frame):
+    sums = "Work out the value of the sum 12 + 7 * 3 - 4 / 2 + 9 - 8 + 6 * 5 and write down the result of it"
+    items = [(1, "What is 12 + 7 * 3 - 4 / 2 ?"), (2, sums), (3, "Anna Lee met Bob Ray near Rome then Eve Fox saw Dan Poe near Oslo")]
+    docs = [(1, f"Hello. {items[0][1]} Yes."), (2, "What is 13 + 7 * 3 - 4 / 2 ?"), (3, f"so: {sums}."), (None, items[2][1])]
+    docs += [(4, sums.replace("12", "31").replace("9", "77")), (5, sums[:31] + " and write down the result of it"), (6, sums[:36])]
+    got = _held(frame, items, docs)
+    assert {k: (r.coverage, r.changed) for k, r in got.items()} == {(1, 1): (1.0, False), (3, 2): (1.0, False), (None, 3): (1.0, False), (4, 2): (1.0, True)}
+
+
 def test_items_of_the_documents(spark):
     flat = lambda t: " ".join(t.lower().split())
     items = [(r.item_id, flat(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
