@@ -7,6 +7,10 @@ original. On each alignment (difference of positions) the slots are compared: an
 of the document everywhere, or the alignment is dropped. A document holds an item if the windows that remain cover at
 least ``COVERAGE`` of all the item's.
 
+A capitalised word at the start of a sentence is read both ways, as a plain word and as (part of) a name; only
+``OPENERS`` are plain in any case. Windows under the second reading count if their values agree with all others of the
+alignment, and drop none of the first reading.
+
 Windows in which fewer than half of the tokens are plain words say little as templates. They are joined on their literal
 values, and as templates only on alignments that other windows have found.
 
@@ -110,7 +114,7 @@ def _template(kind: np.ndarray, value: np.ndarray, opens: np.ndarray) -> Reading
 
 
 def readings(text: str | None, code_of) -> list[Reading]:
-    """The template with sentences' first words as plain words."""
+    """The template with sentences' first words as plain words, then, if there are such words, with them as names."""
     tokens = _TOKENS.findall(text or "")
     raw = np.fromiter(map(code_of, tokens), dtype=np.int64, count=len(tokens))
     kind, value = raw & 7, (raw >> 3).astype(np.uint64)
@@ -120,6 +124,8 @@ def readings(text: str | None, code_of) -> list[Reading]:
     kind[kind == _OPENER] = _PLAIN
     opens = kind == _CAPITAL
     out = [_template(np.where(opens, _PLAIN, kind), value, opens)]
+    if opens.any():
+        out.append(_template(np.where(opens, _NAME, kind), value, opens))
     return out
 
 

@@ -184,6 +184,14 @@ def test_items_of_few_plain_words_are_found(frame):
     assert {k: (r.coverage, r.changed) for k, r in got.items()} == {(1, 1): (1.0, False), (3, 2): (1.0, False), (None, 3): (1.0, False), (4, 2): (1.0, True)}
 
 
+def test_names_at_sentence_starts_are_slots(frame):
+    ask = "{0} has 12 red apples and gives some of them to a friend at school. {0} then buys 5 more apples at the shop and eats one. How many apples are left"
+    docs = [(1, ask.format("Anna")), (2, ask.format("Anna Maria")), (3, ask.format("Bob").replace("12", "40")), (4, "Two. " + ask.format("Mary"))]
+    docs += [(5, ask.replace("{0} then", "Eve then").format("Mary")), (6, "Anna has a dog.")]
+    got = _held(frame, [(1, ask.format("Mary"))], docs)
+    assert {k[0]: r.changed for k, r in got.items() if k[0] != 5} == {1: True, 2: True, 3: True, 4: False} and got[1, 1].coverage == got[3, 1].coverage == 1.0
+
+
 def test_items_of_the_documents(spark):
     flat = lambda t: " ".join(t.lower().split())
     items = [(r.item_id, flat(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
