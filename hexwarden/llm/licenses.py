@@ -1,10 +1,14 @@
-"""License scan: canonical digests of entire texts and entire lines, looked up among those of known licences.
+"""License scan: canonical digests of entire texts, paragraphs and lines, looked up among those of known licences.
 
 A text is canonicalised - lower case, copyright lines removed, punctuation and white space to single blanks, equivalent
-spellings to one - and its MD5 is joined with the digests of known licence texts and notices, canonicalised alike. Both
-the whole document and each of its lines count as a text.
+spellings to one - and its MD5 is joined with the digests of known licence texts and notices, canonicalised alike. The
+whole document, each paragraph (run of non-empty lines) and each line count as a text.
 
-Defined results: one row per document and licence found (doc_id, license_id, n_lines, whole); null and empty texts and
+Whole documents and paragraphs are read without regard to their line breaks as well ("unwrapped"): then only lines that
+begin a paragraph are copyright lines, as inside one a line may begin with "copyright" by chance.
+
+Defined results: one row per document and licence found (doc_id, license_id, n_lines, whole); n_lines counts lines that
+are its text by themselves and lines of paragraphs that are; null and empty texts and
 texts without letters or digits match nothing; rows that repeat an id are summed; null ids form one group; an empty
 table gives an empty result; extra columns are not read. Known texts that are equal after canonicalisation count for
 the smallest license_id.
@@ -16,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexwarden.llm.common import table
+from hexwarden.llm.license_texts import DIGESTS, FULL
 from hexwarden.workspace import written
 
 #: Public licence notices. A caller's own table (license_id, text) can take their place.
@@ -59,42 +64,70 @@ SPELLINGS = (
     ("v", "version"),
 )
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
+#: Copyright lines at the start of a paragraph.
+COPYRIGHT_HEAD = r"(\A|\n[ \t\r]*\n)\s*([ \t]*(copyright|\(c\)|©)[^\n]*(\n|\z))+"
+BLANK_LINE = r"\n[ \t\r]*\n"
 OTHER = r"[^\p{L}\p{N}]+"
 
 
-def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
-    out = F.concat(F.lit(" "), F.regexp_replace(out, OTHER, " "), F.lit(" "))
+def _plain(lowered: Column) -> Column:
+    out = F.concat(F.lit(" "), F.regexp_replace(lowered, OTHER, " "), F.lit(" "))
     for spelling, one in SPELLINGS:
         out = F.replace(out, F.lit(f" {spelling} "), F.lit(f" {one} "))
     return F.trim(out)
 
 
-def known_digests(known: DataFrame) -> DataFrame:
-    """``known`` (license_id, text) to (digest, license_id)."""
-    texts = known.select("license_id", canonical(F.col("text")).alias("canonical")).where("canonical <> ''")
-    return texts.groupBy(F.md5("canonical").alias("digest")).agg(F.min("license_id").alias("license_id"))
+def canonical(text: Column) -> Column:
+    return _plain(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, ""))
+
+
+def unwrapped(text: Column) -> Column:
+    """The canonical text whatever its line breaks inside paragraphs."""
+    return _plain(F.regexp_replace(F.lower(text), COPYRIGHT_HEAD, "\n\n"))
+
+
+def known_digests(known: DataFrame, by_digest: DataFrame | None = None) -> DataFrame:
+    """``known`` (license_id, text) and ``by_digest`` (license_id, digest) to (digest, license_id)."""
+    each = F.explode(F.array_distinct(F.array(canonical(F.col("text")), unwrapped(F.col("text")))))
+    texts = known.select("license_id", each.alias("canonical")).where("canonical <> ''")
+    digests = texts.select("license_id", F.md5("canonical").alias("digest"))
+    if by_digest is not None:
+        digests = digests.unionByName(by_digest.select("license_id", "digest"))
+    return digests.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def built_in(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license_id string, text string")
+    return spark.createDataFrame([*KNOWN, *FULL], "license_id string, text string")
+
+
+def built_in_digests(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(DIGESTS), "license_id string, digest string")
 
 
-def scan(docs: DataFrame, known: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+def scan(
+    docs: DataFrame, known: DataFrame, id_col="doc_id", text_col="text", by_digest: DataFrame | None = None
+) -> DataFrame:
     """One row per document and licence: doc_id, license_id, n_lines (lines that are its text), whole (the document is)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    whole = rows.select("doc_id", F.md5(canonical(F.col("text"))).alias("digest"), F.lit(True).alias("whole"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    readings = F.explode(F.array_distinct(F.array(F.md5(canonical(F.col("text"))), F.md5(unwrapped(F.col("text"))))))
+    whole = rows.select("doc_id", readings.alias("digest"), none.alias("n"), F.lit(True).alias("whole"))
     lines = rows.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
-    lines = lines.select("doc_id", F.md5(canonical(F.col("line"))).alias("digest"), F.lit(False).alias("whole"))
-    digests = written(known_digests(known), "license-digests")
-    found = whole.unionByName(lines).join(digests, "digest")
-    return found.groupBy("doc_id", "license_id").agg(
-        F.count_if(~F.col("whole")).alias("n_lines"), F.max("whole").alias("whole")
-    )
+    lines = lines.select("doc_id", F.md5(canonical(F.col("line"))).alias("digest"), one.alias("n"), F.lit(False).alias("whole"))
+    digests = written(known_digests(known, by_digest), "license-digests")
+    # Paragraphs of one line are lines.
+    parts = rows.select("doc_id", F.explode(F.split("text", BLANK_LINE, -1)).alias("part")).where(F.instr(F.trim("part", F.lit("\n")), "\n") > 0)
+    parts = parts.select("doc_id", "part", F.md5(unwrapped(F.col("part"))).alias("digest")).join(digests, "digest")
+    body = F.split(F.regexp_replace(F.lower("part"), COPYRIGHT_HEAD, ""), "\n", -1)
+    n = F.size(F.filter(body, lambda line: F.regexp_replace(line, OTHER, "") != "")).cast("long")
+    parts = parts.select("doc_id", "license_id", n.alias("n"), F.lit(False).alias("whole")).where("n > 1")
+    found = whole.unionByName(lines).join(digests, "digest").select("doc_id", "license_id", "n", "whole")
+    found = found.unionByName(parts)
+    return found.groupBy("doc_id", "license_id").agg(F.sum("n").alias("n_lines"), F.max("whole").alias("whole"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"), built_in(spark))
+    return scan(table(spark, sf_dir, "documents"), built_in(spark), by_digest=built_in_digests(spark))
 
 
 def _sql_canonical(text: str) -> str:

@@ -1,9 +1,12 @@
 """Operators with SQL counterparts: mixing and the licence scan."""
 
+import hashlib
+import textwrap
+
 import pytest
 from pyspark.sql import functions as F
 
-from hexwarden.llm import licenses, mixing
+from hexwarden.llm import license_texts, licenses, mixing
 from tests.llm.conftest import SF, ordered
 
 DOCS = "doc_id long, text string, source string, size string, rate string"
@@ -62,3 +65,21 @@ def test_licenses_of_odd_rows(spark, frame, oracle):
     got = {(r.doc_id, r.license_id): (r.n_lines, r.whole) for r in df.collect()}
     assert got == {(1, "MIT"): (2, True), (None, "all-rights-reserved"): (1, True), (4, "CC-BY-NC-4.0"): (1, False)}
     assert licenses.scan(docs.limit(0), licenses.built_in(spark)).count() == 0
+
+
+def test_full_texts_and_wrapped_notices(spark, frame):
+    full = {}
+    for name, text in license_texts.FULL:
+        full.setdefault(name, []).append(text)
+    wrap = lambda text, width: "\n\n".join(textwrap.fill(part, width) for part in text.split("\n\n"))
+    rows = [(1, "MIT License\n\nCopyright (c) 2020 X\n\n" + wrap(full["MIT"][0], 79)), (2, "Copyright 2021 Y\n" + wrap(full["ISC"][0], 72))]
+    rows += [(3, wrap(full["BSD-3-Clause"][1], 60)), (4, wrap(full["BSD-2-Clause"][0], 30)), (5, wrap(full["MIT"][0], 79) + " Or not.")]
+    rows += [(6, "Intro.\n\nThis work is licensed under the GNU General Public License,\nversion 3.\n \nEnd."), (7, "Intro.\nAll rights\nreserved.")]
+    docs = frame([(*r, "x") for r in rows], "doc_id long, text string, digest string")
+    got = {(r.doc_id, r.license_id, r.whole) for r in licenses.scan(docs, licenses.built_in(spark)).collect()}
+    assert got == {(1, "MIT", True), (2, "ISC", True), (3, "BSD-3-Clause", True), (4, "BSD-2-Clause", True), (6, "GPL-3.0", False)}
+    assert {r.n_lines for r in licenses.scan(docs, licenses.built_in(spark)).where("doc_id = 6").collect()} == {2}
+    digest = frame([("own", hashlib.md5(b"intro all rights reserved").hexdigest())], "license_id string, digest string")
+    own = licenses.scan(docs, licenses.built_in(spark), by_digest=digest).where("license_id = 'own'").collect()
+    assert [(r.doc_id, r.whole, r.n_lines) for r in own] == [(7, True, 3)]
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0"} <= {r.license_id for r in licenses.built_in_digests(spark).collect()}
