@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from hexwarden.llm import decontamination, embeddings, licenses, maintext, mixing, passages, repeats, simhash, tokenfiles, toxicity
+from hexwarden.llm import (
+    decontamination,
+    embeddings,
+    licenses,
+    maintext,
+    mixing,
+    passages,
+    quality,
+    repeats,
+    simhash,
+    tokenfiles,
+    toxicity,
+)
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -15,9 +27,11 @@ QUERIES = {
     "op8_simhash": simhash.query,
     "op9_maintext": maintext.query,
     "op10_decontamination": decontamination.query,
+    "op12_quality": quality.query,
 }
 
 ORACLES = {
     "op1_mixing": mixing.SQL,
     "op6_licenses": licenses.sql(),
+    "op12_quality": quality.SQL,
 }
