@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from hexwarden.llm import (
+    audit,
     decontamination,
     embeddings,
     licenses,
@@ -27,11 +28,13 @@ QUERIES = {
     "op8_simhash": simhash.query,
     "op9_maintext": maintext.query,
     "op10_decontamination": decontamination.query,
+    "op11_audit": audit.query,
     "op12_quality": quality.query,
 }
 
 ORACLES = {
     "op1_mixing": mixing.SQL,
     "op6_licenses": licenses.sql(),
+    "op11_audit": audit.SQL,
     "op12_quality": quality.SQL,
 }
