@@ -13,6 +13,7 @@ from hexwarden.llm import (
     quality,
     repeats,
     simhash,
+    spelling,
     tokenfiles,
     toxicity,
 )
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_decontamination": decontamination.query,
     "op11_audit": audit.query,
     "op12_quality": quality.query,
+    "op13_spelling": spelling.query,
 }
 
 ORACLES = {
@@ -37,4 +39,5 @@ ORACLES = {
     "op6_licenses": licenses.sql(),
     "op11_audit": audit.SQL,
     "op12_quality": quality.SQL,
+    "op13_spelling": spelling.SQL,
 }
