@@ -9,8 +9,8 @@ among those that pass the base rules. Scores are taken in hundredths; a cut lies
 of both shares is to be largest, and of equal cuts the lowest counts, which keeps most. Every document is held against it. Everything is DataFrame functions; what reaches the driver is one
 number per bucket and one count per hundredth of a score in [-SCORE_END, SCORE_END].
 
-Windows of eight words are compared as 64-bit hashes of 60-bit word hashes, inside one document only; two different
-windows of a document of a million words share one with a probability of 3e-8.
+Windows of eight words are compared as 64-bit hashes of 64-bit word hashes, inside one document only; two different
+windows of a document of a million words share one with a probability of 3e-8. Words go to buckets by CRC-32.
 
 Defined results: a null or empty text has no words, counts 0, a null score, and fails the base rules; a document of
 one word has no pair and is scored by its word; a null id is a row like any other, without label; rows that share an
@@ -50,34 +50,29 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), "")
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.length(F.translate(text, characters, ""))
-
-
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and ``buckets`` of the words."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lines = F.filter(F.split("text", "\n"), lambda line: _without(line, BLANKS) > 0)
+    lines = F.filter(F.split("text", "\n"), lambda line: F.trim(line, F.lit(BLANKS)) != "")
     split = rows.select(
         "doc_id",
-        _without(F.col("text"), BLANKS).cast("long").alias("word_chars"),
-        (F.length("text") - _without(F.col("text"), SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         lines.alias("lines"),
-        F.transform(_words(F.col("text")), lambda w: F.conv(F.substring(F.md5(w), 1, 15), 16, 10).cast("long")).alias("hashes"),
+        _words(F.col("text")).alias("words"),
     )
-    places = F.sequence(F.lit(1), F.size("hashes") - (WINDOW - 1))
-    windows = F.when(
-        F.size("hashes") >= WINDOW, F.transform(places, lambda i: F.xxhash64(F.slice("hashes", i, WINDOW)))
-    ).otherwise(F.array().cast("array<bigint>"))
     hashed = split.select(
         "doc_id",
-        "word_chars",
         "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size("hashes").cast("long").alias("n_words"),
-        F.transform("hashes", lambda h: (h % BUCKETS).cast("int")).alias("buckets"),
-        windows.alias("windows"),
+        F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.transform("words", lambda w: (F.crc32(w.cast("binary")) % BUCKETS).cast("int")).alias("buckets"),
+        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
+    # get() takes a step, a slice inside a lambda would copy the whole array for every word.
+    from_each = F.transform("hashes", lambda h, i: F.xxhash64(h, *(F.get("hashes", i + k) for k in range(1, WINDOW))))
+    windows = F.slice(from_each, 1, F.greatest(F.size("hashes") - (WINDOW - 1), F.lit(0)))
+    hashed = hashed.select("*", windows.alias("windows")).drop("hashes")
     # Only texts with a repeated window sort them; equal windows then stand side by side.
     repeated = F.size(F.array_distinct("windows")) < F.size("windows")
     in_order = F.sort_array(F.transform("windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
@@ -112,11 +107,12 @@ def _grams() -> Column:
 
 
 def gram_ratios(counted: DataFrame, trusted: DataFrame) -> list[int]:
-    """ln P(bucket | trusted) - ln P(bucket | raw) in millionths; ``trusted`` has the ids (doc_id)."""
-    ids = trusted.select(F.col("doc_id").alias("of")).distinct().withColumn("good", F.lit(1).cast("long"))
+    """ln P(bucket | trusted) - ln P(bucket | raw) in millionths; ``trusted`` has the ids (doc_id), each once."""
+    ids = trusted.select(F.col("doc_id").alias("of")).withColumn("good", F.lit(1).cast("long"))
     marked = counted.select("doc_id", "buckets").join(ids, F.col("doc_id") == F.col("of"), "left")
     grams = marked.select("good", F.explode(_grams()).alias("bucket"))
     sums = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")).fillna(0)
+    sums = written(sums, "quality-grams")
     totals = sums.agg(F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good")).first()
     ratios = [0] * (2 * BUCKETS)
     if totals["all_good"]:
@@ -167,7 +163,7 @@ def label_of_id(labels: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, the four base counts, score, threshold, base_failed, kept."""
     counted = written(base_counts(docs, id_col, text_col), "quality-counts")
-    known = label_of_id(labels)
+    known = written(label_of_id(labels), "quality-labels")  # Spark knows its size when it joins.
     scored = written(_scored(counted, gram_ratios(counted, known.where("good = 1 AND NOT held_out"))), "quality-scores")
     threshold = best_cut(scored, known.where("held_out").drop("held_out"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False))
@@ -179,12 +175,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = rf"""
-WITH texts AS (
+WITH RECURSIVE texts AS MATERIALIZED (
   SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), crc_steps AS (
+  SELECT range AS byte, range AS crc, 0 AS step FROM range(256) UNION ALL
+  SELECT byte, CASE WHEN crc & 1 = 1 THEN xor(3988292384, crc >> 1) ELSE crc >> 1 END, step + 1 FROM crc_steps WHERE step < 8
+), crc_table AS MATERIALIZED (
+  SELECT list(crc ORDER BY byte) AS t FROM crc_steps WHERE step = 8
+), folding AS (
+  SELECT w, hex(encode(w)) AS hex, 0 AS pos, 4294967295 AS crc FROM (SELECT DISTINCT unnest(words) AS w FROM texts) UNION ALL
+  SELECT w, hex, pos + 2, xor(crc >> 8, t[(xor(crc, ('0x' || substr(hex, pos + 1, 2))::BIGINT) & 255) + 1])
+  FROM folding, crc_table WHERE pos < length(hex)
+), word_bucket AS MATERIALIZED (
+  SELECT w, xor(crc, 4294967295) % {BUCKETS} AS bucket FROM folding WHERE pos = length(hex)
 ), word_hashes AS (
-  SELECT row, doc_id, w, i, (('0x' || substr(md5(w), 1, 15))::BIGINT % {BUCKETS})::BIGINT AS bucket
-  FROM (SELECT row, doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM texts)
+  SELECT row, doc_id, w, i, bucket
+  FROM (SELECT row, doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM texts) JOIN word_bucket USING (w)
 ), windows AS (
   SELECT row, i, string_agg(w, ' ') OVER (PARTITION BY row ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS words,
          count(*) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS n
