@@ -39,13 +39,15 @@ END_ID = 2
 MASK_DELTA = 0xA282EAD8
 #: Bytes of text that one pair of files is made of, and records that one reading task takes at a time.
 FILE_TEXT_BYTES = 32 * 2**20
+#: At most so many ranges are cut (Spark samples a hundred ids for each on the driver); beyond, files grow.
+MOST_FILES = 100_000
 
 #: Entries of a worker's cache of encoded pieces; it is emptied when full.
 CACHE_PIECES = 1_000_000
 
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("n_tokens", "<i8"), ("is_null", "<i8")])
 MANIFEST = "part long, records string, index string, n_docs long, n_tokens long, n_bytes long"
-READ = "part long, doc_id long, start_in_file long, n_tokens long, ids_crc32 long"
+READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def masked(data: bytes) -> int:
@@ -53,6 +55,38 @@ def masked(data: bytes) -> int:
     return ((crc >> 15 | crc << 17) + MASK_DELTA) & 0xFFFFFFFF
 
 
+class _Ids(dict):
+    """Ids of texts without blanks, as bytes; a text is encoded when it is first asked for."""
+
+    def __init__(self, tokenizer, kind: str):
+        self.tokenizer, self.kind = tokenizer, kind
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        found = self[text] = np.array(ids, dtype=self.kind).tobytes()
+        return found
+
+
+class _Pieces(dict):
+    """Ids of pieces. The vocabulary's pre-tokenizer parts letters from signs and its normalizer lower-cases, so a piece
+    of letters and signs behind them has the ids of the lower-cased letters and those of the signs, which many
+    pieces share. All other pieces are encoded as they are."""
+
+    def __init__(self, ids: _Ids):
+        self.ids = ids
+
+    def __missing__(self, piece: str) -> bytes:
+        letters, ids = piece.rstrip(SIGNS), self.ids
+        if letters.isalpha() and max(letters) <= "ÿ":
+            found = ids[letters.lower()]
+            if len(letters) < len(piece):
+                found += ids[piece[len(letters) :]]
+        else:
+            found = ids[piece]
+        self[piece] = found
+        return found
+
+
 class Encoder:
     """Encodes texts with the tokenizers library, each distinct piece between blanks once.
 
@@ -64,33 +98,32 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 2**16 else "<u4"
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        line = " ".join(pieces)
-        encoded = self.tokenizer.encode(line, add_special_tokens=False)
-        ids = np.array(encoded.ids, dtype=self.kind)
-        at = np.fromiter((o[0] for o in encoded.offsets), dtype=np.int64, count=len(ids))
-        ends = np.cumsum([len(p) + 1 for p in pieces])
-        cuts = np.searchsorted(at, ends).tolist()
-        data, width, start = ids.tobytes(), ids.itemsize, 0
-        for piece, cut in zip(pieces, cuts, strict=True):
-            self.known[piece] = data[start * width : cut * width]
-            start = cut
+        tokenizer = Tokenizer.from_file(path)
+        self.kind = "<u2" if tokenizer.get_vocab_size() <= 2**16 else "<u4"
+        self.ids = _Ids(tokenizer, self.kind)
+        self.pieces = _Pieces(self.ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of the width ``kind``."""
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        cut = [text.translate(_TO_SPACE).split(" ") for text in texts]
-        new = [p for p in set().union(*cut) if p not in self.known]
-        for at in range(0, len(new), 20_000):
-            self._learn(new[at : at + 20_000])
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+        out = []
+        for text in texts:
+            if len(self.pieces) + len(self.ids) > CACHE_PIECES:
+                self.pieces.clear()
+                self.ids.clear()
+            out.append(b"".join(map(self.pieces.__getitem__, _cut(text))))
+        return out
+
 
+def _cut(text: str) -> list[str]:
+    # split() also cuts at four separators that the tokenizer takes for signs.
+    if any(c in text for c in _NO_BLANKS):
+        return text.translate(_TO_SPACE).split(" ")
+    return text.split()
 
+
+#: Signs that the pre-tokenizer keeps apart from letters (an apostrophe may begin a contraction).
+SIGNS = ".,;:!?#*$%&\")(]["
+_NO_BLANKS = "\x1c\x1d\x1e\x1f"
 _TO_SPACE = str.maketrans(dict.fromkeys("\t\n\r\x0b\x0c", " "))
 
 
@@ -171,7 +204,7 @@ def write_files(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = [F.asc_nulls_first("doc_id"), F.xxhash64("text")]
-    ranges = rows.repartitionByRange(1 + n_bytes // file_text_bytes, *order).sortWithinPartitions(*order)
+    ranges = rows.repartitionByRange(min(MOST_FILES, 1 + n_bytes // file_text_bytes), *order).sortWithinPartitions(*order)
     return written(ranges.mapInArrow(_writer(folder, vocabulary, end_id), MANIFEST), "token-manifest")
 
 
@@ -208,15 +241,15 @@ def _reader(folder: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                out, start = [], 0
+                out, start = [], row["before"]
                 for doc_id, ids in records_of(folder, row["records"], row["index"]):
-                    out.append((row["part"], doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    out.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     start += len(ids)
                     if len(out) == 10_000:
                         yield _digest_batch(out)
                         out = []
-                if start != row["n_tokens"]:
-                    raise ValueError(f"{row['records']}: {start} ids, the manifest has {row['n_tokens']}")
+                if start != row["before"] + row["n_tokens"]:
+                    raise ValueError(f"{row['records']}: {start - row['before']} ids, the manifest has {row['n_tokens']}")
                 if out:
                     yield _digest_batch(out)
 
@@ -224,15 +257,15 @@ def _reader(folder: str):
 
 
 def read_digests(manifest: DataFrame, folder: str) -> DataFrame:
-    """Read the files back, checking every record: doc_id, start, n_tokens, ids_crc32."""
-    # A running total over the files, of which there is one for every FILE_TEXT_BYTES of text.
+    """Read the files back, checking every record: doc_id, start, n_tokens, ids_crc32.
+
+    A file's line of the manifest carries the number of ids before it to the task that reads it, so documents meet
+    nothing but their own file.
+    """
+    # A running total over the files, of which there are at most MOST_FILES.
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = manifest.select(F.col("part").alias("of"), F.coalesce(before, F.lit(0)).alias("before"))
-    spread = manifest.repartition(max(1, manifest.count()))
-    read = spread.mapInArrow(_reader(folder), READ)
-    return read.join(starts, read.part == starts.of).select(
-        "doc_id", (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids_crc32"
-    )
+    lines = written(manifest.withColumn("before", F.coalesce(before, F.lit(0))), "token-starts")
+    return lines.repartition(max(1, lines.count())).mapInArrow(_reader(folder), READ)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:

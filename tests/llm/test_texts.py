@@ -238,3 +238,25 @@ def test_damaged_records_are_refused(frame, tmp_path):
         path.write_bytes(bad)
         with pytest.raises(ValueError):
             list(tokenfiles.records_of(str(tmp_path / "f"), row.records, row["index"]))
+
+
+def test_encoder_equals_whole_texts():
+    path = tokenfiles.vocabulary_path()
+    whole, encoder = Tokenizer.from_file(path), tokenfiles.Encoder(path)
+    rng = random.Random(4)
+    alphabet = "aBcÉßÿĀǅµªΣ'sşé1²٣.,;:!?#*$%&\")(]['’-_/ \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u2003\u3000\u0301\u1100\u1161한İ<|"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(4000)]
+    texts += ["don't We'Re they'll!", "a<|endoftext|>b <|startoftext|>, end.", "Word, word. WORD*** word...", "École. ÉCOLE, école"]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, dtype=encoder.kind).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_reader_joins_nothing(spark, frame, tmp_path):
+    docs = frame([(i, "some words here " * 9, "x", "x") for i in range(50)], DOCS)
+    folder = str(tmp_path / "files")
+    manifest = tokenfiles.write_files(docs, folder, tokenfiles.vocabulary_path(), file_text_bytes=600)
+    read = tokenfiles.read_digests(manifest, folder)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    rows = sorted(tuple(r) for r in read.collect())
+    assert manifest.count() > 3 and [r[1] for r in rows] == [sum(r[2] for r in rows[:k]) for k in range(50)]
