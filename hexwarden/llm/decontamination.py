@@ -25,6 +25,7 @@ result; extra columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -56,10 +57,15 @@ OPENERS = frozenset(
     "was were do does did has have had can could should would let now also once both either neither".split()
 )
 _TOKENS = regex.compile(r"[\p{L}\p{M}]+|\p{N}+(?:[.,]\p{N}+)*|[.!?:\n]|[%$€£°]")
+#: The same over the letters and numbers of Latin-1, for texts that hold no other characters.
+_LATIN_LETTERS, _LATIN_NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
+_LATIN_TOKENS = re.compile(f"[{_LATIN_LETTERS}]+|[{_LATIN_NUMBERS}]+(?:[.,][{_LATIN_NUMBERS}]+)*|[.!?:\n]|[%$£°]")
 _PLAIN, _NUMBER, _UNIT, _CAPITAL, _STOP, _NAME, _OPENER = range(7)
 #: Kinds of windows: joined as templates, joined on literal values, templates looked for on known alignments.
 _RICH, _LITERAL, _POOR = range(3)
 _PLACEHOLDER = {_NUMBER: 0x9E3779B97F4A7C15, _UNIT: 0xC2B2AE3D27D4EB4F, _NAME: 0x165667B19E3779F9}
+_HAS_PLACE = np.array([kind in _PLACEHOLDER for kind in range(7)])
+_PLACES = np.array([_PLACEHOLDER.get(kind, 0) for kind in range(7)], dtype=np.uint64)
 _BASE = np.uint64(0x100000001B3 * 2 + 1)
 
 WINDOW_SCHEMA = "id long, hash long, pos long, n_windows long, slots array<long>, kind int, second boolean"
@@ -67,18 +73,26 @@ WINDOW_SCHEMA = "id long, hash long, pos long, n_windows long, slots array<long>
 
 def _token_code(token: str) -> int:
     """Hash of the lower-cased token above three bits of its kind."""
-    first = token[0]
+    first, lower = token[0], token.lower()
     if first in ".!?:\n":
         kind = _STOP
     elif first.isnumeric():
         kind = _NUMBER
-    elif token.lower() in UNITS:
+    elif lower in UNITS:
         kind = _UNIT
-    elif first.isupper() and len(token) > 1 and token[1:].islower():
-        kind = _OPENER if token.lower() in OPENERS else _CAPITAL
+    elif lower != token and first.isupper() and len(token) > 1 and token[1:].islower():
+        kind = _OPENER if lower in OPENERS else _CAPITAL
     else:
         kind = _PLAIN
-    return (xxhash.xxh64_intdigest(token.lower().encode()) >> 4) << 3 | kind
+    return (xxhash.xxh64_intdigest(lower.encode()) >> 4) << 3 | kind
+
+
+def tokens_of(text: str) -> list[str]:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _TOKENS.findall(text)
+    return _LATIN_TOKENS.findall(text)
 
 
 class _Codes(dict):
@@ -107,15 +121,13 @@ def _template(kind: np.ndarray, value: np.ndarray, opens: np.ndarray) -> Reading
         kind = kind[place]
     keep = kind != _STOP
     kind, value, place = kind[keep], value[keep], place[keep]
-    hashed = value.copy()
-    for of, placeholder in _PLACEHOLDER.items():
-        hashed[kind == of] = np.uint64(placeholder)
+    hashed = np.where(_HAS_PLACE[kind], _PLACES[kind], value)
     return Reading(hashed, value, kind == _PLAIN, opens[place], place)
 
 
 def readings(text: str | None, code_of) -> list[Reading]:
     """The template with sentences' first words as plain words, then, if there are such words, with them as names."""
-    tokens = _TOKENS.findall(text or "")
+    tokens = tokens_of(text or "")
     raw = np.fromiter(map(code_of, tokens), dtype=np.int64, count=len(tokens))
     kind, value = raw & 7, (raw >> 3).astype(np.uint64)
     before = np.concatenate(([_STOP], kind[:-1])) if len(kind) else kind

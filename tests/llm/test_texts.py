@@ -260,3 +260,14 @@ def test_reader_joins_nothing(spark, frame, tmp_path):
     assert "Join" not in plan and "Broadcast" not in plan
     rows = sorted(tuple(r) for r in read.collect())
     assert manifest.count() > 3 and [r[1] for r in rows] == [sum(r[2] for r in rows[:k]) for k in range(50)]
+
+
+def test_latin_tokens_are_the_general_ones():
+    rng = random.Random(6)
+    for _ in range(300):
+        text = "".join(chr(rng.randrange(256)) for _ in range(200))
+        assert decontamination.tokens_of(text) == decontamination._TOKENS.findall(text)
+    mixed = "Größe 3½ € ǅungla ١٢ é\u0301a"
+    assert decontamination.tokens_of(mixed) == decontamination._TOKENS.findall(mixed)
+    for letter in map(chr, range(256)):
+        assert decontamination.tokens_of(letter) == decontamination._TOKENS.findall(letter)
