@@ -10,13 +10,19 @@ Batch numbers and ids belong to a run. Every checkpoint - and every backfill - i
 (``tables.allotted_run``); its batches and ids lie in a range of their own, above those of tables that were
 filled by other means. So a new checkpoint on the same tables stages anew, and a backfill can go on beside a
 running stream.
+
+Whether a hash is stored, and from which block on a sender is no rare one, is asked of lookup tables
+(``sources.lookup``), so a batch reads neither the stored transactions nor their keys as a whole. The keys of a batch
+are kept there before its rows are stored: a batch that stops in between has to be repeated, which the stream does by
+itself and ``backfill_blocks`` under the same name.
 """
 
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from hexwarden import schemas
@@ -28,6 +34,7 @@ from hexwarden.operators.ids import with_dense_ids
 from hexwarden.operators.rules import RuleWeights, rule_scores
 from hexwarden.operators.scoring import ScoreProvider, apply_scores, resolve_scores, scoring_requests
 from hexwarden.sources import chain, tables
+from hexwarden.sources.lookup import MERGE_AFTER, Lookup, smallest
 
 POLL_SECONDS, POLL_SECONDS_MIN = 15, 10  # Fixed values.
 # An id is made of run, batch of the run and place in the batch; run 0 is left to rows that were there before.
@@ -36,6 +43,21 @@ RUN_BITS, BATCH_BITS, ROW_BITS = 8, 25, 30
 OUTBOX = "outbox"
 RUNS, CURSORS, EVENTS = "runs", "cursors", "events"
 STAGED, NUMBERED, ANSWERS = "staged", "numbered", "answers"
+# Blocks kept for each sender; a sender with more transactions than the rules call rare needs no more.
+SENDER_BLOCKS = 8
+
+
+def _observed(rows: DataFrame) -> tuple[DataFrame, Observation]:
+    """The rows, and their number once they have been written: no action of its own."""
+    seen = Observation()
+    return rows.observe(seen, F.count(F.lit(1)).alias("n")), seen
+
+
+def _number(seen: Observation) -> int:
+    try:
+        return seen.get["n"]
+    except Py4JJavaError:
+        return 0  # Spark found out beforehand that there are no rows, and dropped the count with them.
 
 
 @dataclass
@@ -45,7 +67,8 @@ class MonitorJob:
     ``registry`` is called once for every batch, so changes to it take effect at the next one. ``receipts``
     gets the first and last block of the batch and returns their receipts. ``provider`` scores; without
     one the built-in rules do, with ``weights`` and ``flagged`` senders (column ``address``), and senders
-    counted over all stored transactions up to the own block. ``run`` is the number that was allotted.
+    counted over all stored transactions up to the own block. ``run`` is the number that was allotted;
+    lookups are merged when ``merge_after`` batches have gathered.
     """
 
     root: str
@@ -57,6 +80,7 @@ class MonitorJob:
     weights: RuleWeights = field(default_factory=RuleWeights)
     flagged: Callable[[SparkSession], DataFrame] | None = None
     run: int = 1
+    merge_after: int = MERGE_AFTER
 
     def number(self, batch_id: int) -> int:
         """The batch among those of all runs."""
@@ -90,16 +114,17 @@ class MonitorJob:
         landed = blocks.agg(F.min(number), F.max(number), F.count(F.lit(1))).first()
         registry = self.registry(spark)
         active = registry.filter("is_active")
-        found, fired, lines = 0, 0, None
+        found, fired, checked, lines = 0, 0, 0, None
         if landed[0] is not None:
             cursors = active.select(F.col("id").alias("protocol_id"), F.lit(landed[1]).alias("last_seen_block"))
+            cursors, polled_protocols = _observed(cursors)
             tables.write_batch(cursors, self.root, CURSORS, batch)
+            checked = _number(polled_protocols)
             staged = self._kept(
                 spark, STAGED, batch, schemas.STAGED, lambda: self._matches(blocks, active, (landed[0], landed[1]))
             )
             if not staged.isEmpty():
                 found, fired, lines = self._store(spark, staged, registry, batch)
-        checked = active.count()
         duration = int((time.monotonic() - started) * 1000)
         run = spark.createDataFrame([(batch, *landed, checked, found, fired, duration)], schemas.RUNS)
         tables.write_batch(run, self.root, RUNS, batch)
@@ -108,32 +133,47 @@ class MonitorJob:
 
     def _store(self, spark: SparkSession, staged: DataFrame, registry: DataFrame, batch: int) -> tuple:
         """Write the new transactions, their alerts and messages; returns how many of the first two, and their events."""
-        known = tables.read_table(spark, self.root, "transactions", but_batch=batch)
+        keys, senders = self._lookups(spark, batch)
+        known = keys.among(staged.select("tx_hash"), batch, self.run)
         fresh = ingest.absent_from(staged, known, "tx_hash")
         base = F.lit(self.first_id(batch)).cast("bigint")
         rows = self._new_rows(ingest.transaction_rows(fresh, self.as_of), base, batch)
+        keys.write(rows, self.run, batch)
+        senders.write(rows, self.run, batch)
         if self.provider is None:
-            scores = self._rules(spark, rows, known)
+            scores = self._rules(spark, rows, senders, batch)
         else:
             asked = scoring_requests(rows, registry)
             answers = self._kept(spark, ANSWERS, batch, schemas.ANSWERS, lambda: _with_attempt(self.provider(asked)))
             scores = resolve_scores(rows, answers)
-        scored = apply_scores(rows, scores, self.as_of)
+        scored, stored_rows = _observed(apply_scores(rows, scores, self.as_of))
         tables.write_batch(scored.select(*schemas.TRANSACTIONS.fieldNames()), self.root, "transactions", batch)
 
         stored = tables.read_table(spark, self.root, "transactions", batch_id=batch)
-        raised = alert_ops.new_alerts(stored, base, self.threshold, self.as_of)
+        raised, alert_rows = _observed(alert_ops.new_alerts(stored, base, self.threshold, self.as_of))
         tables.write_batch(raised.select(*schemas.ALERTS.fieldNames()), self.root, "alerts", batch)
         alerts = tables.read_table(spark, self.root, "alerts", batch_id=batch)
         tables.write_batch(alert_ops.outbox(alerts, stored, registry), self.root, OUTBOX, batch)
-        return stored.count(), alerts.count(), events.monitor_events(stored, alerts, registry)
-
-    def _rules(self, spark: SparkSession, rows: DataFrame, known: DataFrame) -> DataFrame:
-        """Scores by the rules; of the stored transactions only those of the batch's senders are counted."""
-        of_senders = known.select("from_address", "block_number").join(
-            rows.select("from_address").distinct(), "from_address", "left_semi"
-        )
-        history = of_senders.unionByName(rows.select("from_address", "block_number"))
+        return _number(stored_rows), _number(alert_rows), events.monitor_events(stored, alerts, registry)
+
+    def _lookups(self, spark: SparkSession, batch: int) -> tuple[Lookup, Lookup]:
+        """The stored hashes, and the first blocks of each sender; batches of this run below ``batch`` are through."""
+        of = schemas.TRANSACTIONS
+        keys = Lookup(self.root, "tx_hash", "tx_hash", T.StructType([of["tx_hash"]]), lambda rows: rows.distinct())
+        kept = smallest("from_address", "block_number", SENDER_BLOCKS)
+        senders = Lookup(self.root, "senders", "from_address", T.StructType([of["from_address"], of["block_number"]]), kept)
+        for lookup in (keys, senders):
+            lookup.open(spark)
+            lookup.adopt(spark, "transactions", batch)
+            lookup.merge(spark, self.run, batch, self.merge_after)
+        return keys, senders
+
+    def _rules(self, spark: SparkSession, rows: DataFrame, senders: Lookup, batch: int) -> DataFrame:
+        """Scores by the rules; the batch's senders are looked up, history is not read."""
+        if self.weights.rare_sender_upto >= SENDER_BLOCKS:
+            raise ValueError(f"senders are rare up to {SENDER_BLOCKS - 1} transactions at most")
+        known = senders.among(rows.select("from_address"), batch, self.run)
+        history = known.unionByName(rows.select("from_address", "block_number"))
         flagged = None if self.flagged is None else self.flagged(spark)
         return rule_scores(rows, flagged, self.weights, history, by_block=True)
 
