@@ -5,6 +5,9 @@ pass on the columns of ``documents``; the last one writes token files and return
 rows are written as Parquet to the shared folder and read back, so a lost executor costs no earlier stage.
 
 Empty input passes through every stage as empty; rows that the mix takes several times appear several times after it.
+Null texts count as empty ones, which are near copies of each other, so one of them stays; a null source is a source of
+its own; of rows with the same id and text one stays, and of ties the row with the smaller hash of its text; texts of any
+length are taken whole; extra columns are passed on, whatever their names, up to the last stage, which has its own.
 """
 
 from __future__ import annotations
@@ -49,7 +52,7 @@ STAGES = [
     ("token-ID output", write_tokens),
 ]
 
-#: The trees of the first stage have no SQL form; tests compare the pipeline with a brute-force version.
+#: The trees of the first stage have no SQL form; tests hold each stage against its operator's decisions on its own input.
 ORACLE_SQL = None
 
 

@@ -46,3 +46,9 @@ def unit_hash(seed: int, *columns: Column) -> Column:
 def crc_fold(key: Column, folds: int = 3) -> Column:
     """crc32 of the key as text, modulo ``folds``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The rows as one column ``row``, so that no column of a caller meets a name used inside; ``select("row.*")``
+    gives them back."""
+    return docs.select(F.struct("*").alias("row"))

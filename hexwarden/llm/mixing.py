@@ -17,7 +17,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hexwarden.llm.common import WORD, table, unit_hash
+from hexwarden.llm.common import WORD, packed, table, unit_hash
 from hexwarden.workspace import written
 
 #: Fixed values of the production mix.
@@ -101,14 +101,10 @@ def plan_copies(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", seed: int = SEED) -> DataFrame:
     """The mixed documents: the input's rows and columns, each row as often as the mix takes it."""
     sizes = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    rates = written(
-        plan_rates(sizes).select(F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate")), "mix-rates"
-    )
-    joined = docs.join(rates, docs[source_col].eqNullSafe(rates._mix_source))
-    times = copies(F.col("_mix_rate"), docs[id_col], seed).cast("int")
-    return joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), times))).select(
-        *(docs[c] for c in docs.columns)
-    )
+    rates = written(plan_rates(sizes), "mix-rates")
+    joined = packed(docs).join(rates, F.col("row")[source_col].eqNullSafe(F.col("source")))
+    times = copies(F.col("rate"), F.col("row")[id_col], seed).cast("int")
+    return joined.withColumn("copy", F.explode(F.array_repeat(F.lit(1), times))).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from hexwarden.llm.cells import Forest, by_cell, dealt, linked_neighbours, whole_cells
-from hexwarden.llm.common import no_cache, table
+from hexwarden.llm.common import no_cache, packed, table
 from hexwarden.llm.components import components
 from hexwarden.workspace import written
 
@@ -148,17 +148,15 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
 
 def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """The input's rows without near duplicates: of each component the row of the smallest id stays."""
-    prints = written(docs.withColumn("_fp", fingerprint(F.col(text_col))), "simhash-docs")
-    groups = written(print_components(prints.select(F.col("_fp").alias("fp")).distinct()), "simhash-groups")
-    groups = groups.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
-    named = prints.join(groups, prints._fp == groups._node, "left").withColumn(
-        "_group", F.coalesce("_component", "_fp")
-    )
+    row_id, text = F.col("row")[id_col], F.col("row")[text_col]
+    prints = written(packed(docs).withColumn("fp", fingerprint(text)), "simhash-docs")
+    groups = written(print_components(prints.select("fp").distinct()), "simhash-groups")
+    named = prints.join(groups, prints.fp == groups.node, "left").withColumn("group", F.coalesce("component", "fp"))
     # Null ids come last; of rows that repeat an id the one with the smallest fingerprint and text hash stays.
-    rank = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_fp"), F.xxhash64(text_col))
-    first = written(named.groupBy("_group").agg(F.min(rank).alias("_first")), "simhash-first")
-    winners = named.join(first, "_group").where(rank.eqNullSafe(F.col("_first")))
-    return winners.dropDuplicates(["_group"]).select(*docs.columns)
+    rank = F.struct(row_id.isNull(), row_id, F.col("fp"), F.xxhash64(text))
+    first = written(named.groupBy("group").agg(F.min(rank).alias("first")), "simhash-first")
+    winners = named.join(first, "group").where(rank.eqNullSafe(F.col("first")))
+    return winners.dropDuplicates(["group"]).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hexwarden.llm.common import CACHE_ENTRIES, crc_fold, table, unit_hash, worker_cache
+from hexwarden.llm.common import CACHE_ENTRIES, crc_fold, packed, table, unit_hash, worker_cache
 from hexwarden.workspace import written
 
 #: Bounds of what is learned from: labelled rows, and terms of the lexicon.
@@ -281,8 +281,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """The input's rows and columns without those predicted toxic."""
-    scored = fit(docs, labels, id_col, text_col).score(docs, text_col)
-    return scored.where(F.col("_score") < THRESHOLD).select(*docs.columns)
+    rows = packed(docs).withColumn("text", F.col("row")[text_col])
+    scored = fit(docs, labels, id_col, text_col).score(rows)
+    return scored.where(F.col("_score") < THRESHOLD).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
