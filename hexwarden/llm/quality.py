@@ -109,7 +109,8 @@ def _grams() -> Column:
 def gram_ratios(counted: DataFrame, trusted: DataFrame) -> list[int]:
     """ln P(bucket | trusted) - ln P(bucket | raw) in millionths; ``trusted`` has the ids (doc_id), each once."""
     ids = trusted.select(F.col("doc_id").alias("of")).withColumn("good", F.lit(1).cast("long"))
-    marked = counted.select("doc_id", "buckets").join(ids, F.col("doc_id") == F.col("of"), "left")
+    # Dealt by id at every size: labels grow with the documents. Only the ids are put into hash tables, nothing is sorted.
+    marked = counted.select("doc_id", "buckets").join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("of"), "left")
     grams = marked.select("good", F.explode(_grams()).alias("bucket"))
     sums = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")).fillna(0)
     sums = written(sums, "quality-grams")
