@@ -55,35 +55,29 @@ def masked(data: bytes) -> int:
     return ((crc >> 15 | crc << 17) + MASK_DELTA) & 0xFFFFFFFF
 
 
-class _Ids(dict):
-    """Ids of texts without blanks, as bytes; a text is encoded when it is first asked for."""
+class _Pieces(dict):
+    """Ids of pieces without blanks, as bytes; one is encoded when it is first asked for.
+
+    The vocabulary's pre-tokenizer parts letters from signs and its normalizer lower-cases, so a piece of letters and signs
+    behind them has the ids of the lower-cased letters and those of the signs, which many pieces share. All other
+    pieces are encoded as they are.
+    """
 
     def __init__(self, tokenizer, kind: str):
         self.tokenizer, self.kind = tokenizer, kind
 
-    def __missing__(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        found = self[text] = np.array(ids, dtype=self.kind).tobytes()
-        return found
-
-
-class _Pieces(dict):
-    """Ids of pieces. The vocabulary's pre-tokenizer parts letters from signs and its normalizer lower-cases, so a piece
-    of letters and signs behind them has the ids of the lower-cased letters and those of the signs, which many
-    pieces share. All other pieces are encoded as they are."""
-
-    def __init__(self, ids: _Ids):
-        self.ids = ids
-
     def __missing__(self, piece: str) -> bytes:
-        letters, ids = piece.rstrip(SIGNS), self.ids
+        letters = piece.rstrip(SIGNS)
         if letters.isalpha() and max(letters) <= "ÿ":
-            found = ids[letters.lower()]
-            if len(letters) < len(piece):
-                found += ids[piece[len(letters) :]]
-        else:
-            found = ids[piece]
-        self[piece] = found
+            lower, signs = letters.lower(), piece[len(letters) :]
+            if signs:
+                found = self[piece] = self[lower] + self[signs]
+                return found
+            if lower != piece:
+                found = self[piece] = self[lower]
+                return found
+        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        found = self[piece] = np.array(ids, dtype=self.kind).tobytes()
         return found
 
 
@@ -100,16 +94,14 @@ class Encoder:
 
         tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if tokenizer.get_vocab_size() <= 2**16 else "<u4"
-        self.ids = _Ids(tokenizer, self.kind)
-        self.pieces = _Pieces(self.ids)
+        self.pieces = _Pieces(tokenizer, self.kind)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of the width ``kind``."""
         out = []
         for text in texts:
-            if len(self.pieces) + len(self.ids) > CACHE_PIECES:
+            if len(self.pieces) > CACHE_PIECES:
                 self.pieces.clear()
-                self.ids.clear()
             out.append(b"".join(map(self.pieces.__getitem__, _cut(text))))
         return out
 
