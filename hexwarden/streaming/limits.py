@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from hexwarden.operators.limiter import KeyReplay, Limits
+from hexwarden.operators.limiter import AdmittedLog, Limits
 from hexwarden.session import SETTINGS
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -26,9 +26,9 @@ class LimiterProcessor(StatefulProcessor):
         # The calls of one key in one micro-batch, which the trigger bounds.
         calls = pd.concat(list(rows)).sort_values(["at", self.ident], kind="stable")
         before = self.admitted.get() if self.admitted.exists() else None
-        state = KeyReplay(self.limits, list(before[0]) if before else None)
-        allowed, remaining, reset, wait = state.run(calls["at"].to_numpy(dtype=np.int64))
-        self.admitted.update(([int(at) for at in state.day],))
+        log = AdmittedLog(self.limits, list(before[0]) if before else ())
+        allowed, remaining, reset, wait = log.decide(calls["at"].to_numpy(dtype=np.int64))
+        self.admitted.update((log.times.tolist(),))
         yield calls[[self.key, self.ident, "at"]].assign(
             allowed=allowed, remaining=remaining, reset_at=reset, retry_after=wait
         )

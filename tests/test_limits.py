@@ -81,11 +81,45 @@ def test_audit_equals_replay(spark, limits):
     assert _audit(spark, rows, limits) == _replay(rows, limits)
 
 
-@pytest.mark.parametrize("piece_rows", [1, 37, 100])
-def test_audit_in_waves(spark, piece_rows):
-    rows = _random_rows(5, 120 if piece_rows > 1 else 8, [1, 1, 1, 1, 2], 120)
-    limits = limiter.Limits(2, 9, 5, 60)
-    assert _audit(spark, rows, limits, piece_rows=piece_rows) == _replay(rows, limits)
+@pytest.mark.parametrize("seed", range(4))
+def test_audit_by_stretches(spark, seed):
+    # Bursts with pauses of all lengths: shorter than the minute, between minute and day, longer than the day.
+    rng, rows, now = random.Random(seed), [], int(START.timestamp()) * 10**6
+    for _ in range(60):
+        now += rng.choice([1, 3, 5, 12, 30, 61, 150]) * 10**6
+        for _ in range(rng.randrange(1, 9)):
+            rows.append((len(rows), rng.choice([1, 1, 1, 2]), now))
+            now += rng.choice([0, 250_000, 10**6])
+    for limits in (limiter.Limits(2, 9, 5, 60), limiter.Limits(4, 12, 5, 60), limiter.Limits(3, 50, 5, 60), limiter.Limits(9, 4, 60, 5)):
+        assert _audit(spark, rows, limits) == _replay(rows, limits)
+
+
+def test_busy_key_is_replayed_in_many_stretches(spark):
+    # One key with nine tenths of all calls: forty bursts over the minute limit, three of them over the day's.
+    base, day = int(START.timestamp()) * 10**6, 86_400 * 10**6
+    times = [base + n * day // 4 + i * 500_000 for n in range(40) for i in range(90)]
+    times += [base + (30 + 3 * n) * day + i * 500_000 for n in range(3) for i in range(600)]
+    rows = [(i, 1, at) for i, at in enumerate(times)]
+    rows += [(len(times) + i, 2 + i % 50, base + i * 10**9) for i in range(len(times) // 10)]
+    limits = limiter.Limits(60, 500, 60, 86_400)
+    loads = load.offered_load(
+        _calls(spark, rows), {"minute_load": 60, "day_load": 86_400}, tie_break="id"
+    ).withColumn("at", F.unix_micros("created_at"))
+    ranges = limiter.stretches(loads, limits, "api_key_id")
+    tasks = limiter.replay_rows(loads, ranges, limits, "api_key_id", "id").groupBy("api_key_id", "start").count().collect()
+    assert len(tasks) == 43 and max(r["count"] for r in tasks) <= 600
+    assert _audit(spark, rows, limits) == _replay(rows, limits)
+
+
+def test_day_over_without_a_pause_is_one_stretch(spark):
+    base = int(START.timestamp()) * 10**6
+    rows = [(i, 1, base + i * 700_000) for i in range(600)]
+    limits = limiter.Limits(3, 20, 5, 60)
+    loads = load.offered_load(
+        _calls(spark, rows), {"minute_load": 5, "day_load": 60}, tie_break="id"
+    ).withColumn("at", F.unix_micros("created_at"))
+    assert limiter.stretches(loads, limits, "api_key_id").count() == 1
+    assert _audit(spark, rows, limits) == _replay(rows, limits)
 
 
 def test_audit_over_small_arrow_batches(spark):
@@ -126,7 +160,7 @@ def test_text_keys(spark):
     rows = _random_rows(8, 200, [1, 2], 100)
     limits = limiter.Limits(2, 9, 5, 60)
     calls = _calls(spark, rows).withColumn("api_key_id", F.concat(F.lit("key-"), "api_key_id"))
-    got = {r.id: r.allowed for r in limiter.audit(calls, limits, piece_rows=50).collect()}
+    got = {r.id: r.allowed for r in limiter.audit(calls, limits).collect()}
     assert got == {i: r[0] for i, r in _replay(rows, limits).items()}
 
 
