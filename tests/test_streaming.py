@@ -225,6 +225,51 @@ def test_limiter_stream_equals_audit(spark, tmp_path):
     assert got == sorted(map(tuple, limiter.audit(calls, rule).select(*columns).collect())) and len(got) == 300
 
 
+def _decide_in_runs(spark, root, runs, rule, lateness):
+    """Rows ``(id, key, second)`` of each run decided by a run of one stream; decisions by id, keys stored after each."""
+    landed, out, stored = str(root / "landed"), str(root / "out"), []
+    base = int(datetime(2024, 1, 1).timestamp())
+    for rows in runs:
+        calls = spark.createDataFrame([(i, k, base + s) for i, k, s in rows], "id bigint, api_key_id bigint, s bigint")
+        calls = calls.select("id", "api_key_id", F.timestamp_seconds("s").alias("created_at"))
+        calls.write.mode("append").parquet(landed)
+        decided = limits.limit_stream(spark.readStream.schema(calls.schema).parquet(landed), rule, lateness=lateness)
+        writer = decided.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(root / "cp"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+        known = spark.read.format("statestore").option("path", str(root / "cp")).option("stateVarName", "known").load()
+        stored.append({r.key.api_key_id for r in known.select("key").collect()})
+    return {r.id: r for r in spark.read.schema(decided.schema).parquet(out).collect()}, stored
+
+
+def test_limiter_stream_forgets_idle_keys(spark, tmp_path):
+    runs = [
+        [(1, 1, 0), (2, 1, 1), (3, 1, 2), (4, 2, 3)],
+        [(5, 2, 100), (6, None, 100)],
+        [(7, 2, 103), (8, 1, 104)],
+    ]
+    got, stored = _decide_in_runs(spark, tmp_path, runs, limiter.Limits(2, 12, 5, 60), "10 seconds")
+    assert stored == [{1, 2}, {2}, {1, 2}]
+    assert {i: r.allowed for i, r in got.items()} == {1: True, 2: True, 3: False, 4: True, 5: True, 7: True, 8: True}
+    assert got[7].remaining == 0 and got[8].remaining == 1 and not any(r.late for r in got.values())
+
+
+def test_limiter_stream_flags_late_calls(spark, tmp_path):
+    # Call 3 comes after call 2 was decided and counts as made then: the two of the last 5 seconds are 2 and 3.
+    runs = [[(1, 1, 0), (2, 1, 20)], [(3, 1, 10), (4, 1, 21)], [(5, 1, 20), (6, 1, 25)]]
+    got, _ = _decide_in_runs(spark, tmp_path, runs, limiter.Limits(2, 12, 5, 60), "1 hour")
+    assert {i: (r.allowed, r.late) for i, r in got.items()} == {
+        1: (True, False), 2: (True, False), 3: (True, True), 4: (False, False), 5: (False, True), 6: (True, False),
+    }
+    assert got[3].created_at.second == 10
+
+
+def test_limiter_stream_keeps_as_many_times_as_decisions_need(spark, tmp_path):
+    # The stored list is rewritten on the way: 12 admitted calls in 6 micro-batches, two times are needed.
+    runs = [[(2 * n, 1, 10 * n), (2 * n + 1, 1, 10 * n + 1), (100 + n, 1, 10 * n + 2)] for n in range(6)]
+    got, _ = _decide_in_runs(spark, tmp_path, runs, limiter.Limits(2, 2, 5, 8), "1 hour")
+    assert {i: r.allowed for i, r in got.items()} == {i: i < 100 for rows in runs for i, _, _ in rows}
+
+
 def test_unreadable_fields_are_kept_and_flagged(spark, tmp_path):
     landed, root = tmp_path / "landed", tmp_path / "tables"
     odd = [{**_tx(900_000, 2, WATCHED[1]), "value": "0xnone"}, {**_tx(900_000, 4, WATCHED[1]), "blockNumber": "?"}]
