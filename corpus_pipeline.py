@@ -19,6 +19,10 @@ from hexwarden.llm.common import table
 from hexwarden.workspace import written
 
 
+#: The last stage runs in executors that earlier stages have filled, so its workers cache fewer pieces than by themselves.
+CACHE_PIECES = 250_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
@@ -41,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, read back: doc_id, start, n_tokens, ids_crc32."""
-    return tokenfiles.encode_and_read(docs)
+    return tokenfiles.encode_and_read(docs, cache_pieces=CACHE_PIECES)
 
 
 STAGES = [

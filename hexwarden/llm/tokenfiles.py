@@ -42,7 +42,7 @@ FILE_TEXT_BYTES = 32 * 2**20
 #: At most so many ranges are cut (Spark samples a hundred ids for each on the driver); beyond, files grow.
 MOST_FILES = 100_000
 
-#: Entries of a worker's cache of encoded pieces; it is emptied when full.
+#: Entries of a worker's cache of encoded pieces, some 200 bytes each; it is emptied when full, which costs time only.
 CACHE_PIECES = 1_000_000
 
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("n_tokens", "<i8"), ("is_null", "<i8")])
@@ -88,19 +88,19 @@ class Encoder:
     those of its pieces one after the other (tested against whole texts).
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if tokenizer.get_vocab_size() <= 2**16 else "<u4"
-        self.pieces = _Pieces(tokenizer, self.kind)
+        self.pieces, self.cache_pieces = _Pieces(tokenizer, self.kind), cache_pieces
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of the width ``kind``."""
         out = []
         for text in texts:
-            if len(self.pieces) > CACHE_PIECES:
+            if len(self.pieces) > self.cache_pieces:
                 self.pieces.clear()
             out.append(b"".join(map(self.pieces.__getitem__, _cut(text))))
         return out
@@ -119,18 +119,18 @@ _NO_BLANKS = "\x1c\x1d\x1e\x1f"
 _TO_SPACE = str.maketrans(dict.fromkeys("\t\n\r\x0b\x0c", " "))
 
 
-def _encoder(path: str) -> Encoder:
-    return worker_cache(f"encoder {path}", lambda: Encoder(path))
+def _encoder(path: str, cache_pieces: int) -> Encoder:
+    return worker_cache(f"encoder {path} {cache_pieces}", lambda: Encoder(path, cache_pieces))
 
 
-def _writer(folder: str, vocabulary: str, end_id: int):
+def _writer(folder: str, vocabulary: str, end_id: int, cache_pieces: int):
     """A task: its rows, already in order, become one pair of files; returns their line of the manifest."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = _encoder(vocabulary)
+        encoder = _encoder(vocabulary, cache_pieces)
         end = np.array([end_id], dtype=encoder.kind).tobytes()
         files, base = fs.FileSystem.from_uri(folder)
         files.create_dir(base, recursive=True)
@@ -188,6 +188,7 @@ def write_files(
     text_col="text",
     end_id: int = END_ID,
     file_text_bytes: int = FILE_TEXT_BYTES,
+    cache_pieces: int = CACHE_PIECES,
 ) -> DataFrame:
     """Write the documents below ``folder``; returns the manifest, a stored table with one row per pair of files.
 
@@ -197,7 +198,7 @@ def write_files(
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = [F.asc_nulls_first("doc_id"), F.xxhash64("text")]
     ranges = rows.repartitionByRange(min(MOST_FILES, 1 + n_bytes // file_text_bytes), *order).sortWithinPartitions(*order)
-    return written(ranges.mapInArrow(_writer(folder, vocabulary, end_id), MANIFEST), "token-manifest")
+    return written(ranges.mapInArrow(_writer(folder, vocabulary, end_id, cache_pieces), MANIFEST), "token-manifest")
 
 
 def _read_frame(source, entry) -> bytes:
@@ -266,10 +267,16 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def encode_and_read(docs: DataFrame, vocabulary: str | None = None, id_col="doc_id", text_col="text") -> DataFrame:
+def encode_and_read(
+    docs: DataFrame,
+    vocabulary: str | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    cache_pieces: int = CACHE_PIECES,
+) -> DataFrame:
     """Write ``docs`` to files in the shared folder and report what they hold, read back from them."""
     folder = run_dir(docs.sparkSession, "token-files")
-    manifest = write_files(docs, folder, vocabulary or vocabulary_path(), id_col, text_col)
+    manifest = write_files(docs, folder, vocabulary or vocabulary_path(), id_col, text_col, cache_pieces=cache_pieces)
     return read_digests(manifest, folder)
 
 

@@ -249,6 +249,8 @@ def test_encoder_equals_whole_texts():
     texts += ["don't We'Re they'll!", "a<|endoftext|>b <|startoftext|>, end.", "Word, word. WORD*** word...", "École. ÉCOLE, école"]
     for text, ids in zip(texts, encoder.encode(texts), strict=True):
         assert np.frombuffer(ids, dtype=encoder.kind).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+    # A cache that is emptied all the time gives the same.
+    assert tokenfiles.Encoder(path, 3).encode(texts) == encoder.encode(texts)
 
 
 def test_reader_joins_nothing(spark, frame, tmp_path):
