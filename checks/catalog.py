@@ -506,6 +506,11 @@ def monitor_events(spark, sf):
     return events.monitor_events(scored, v.alerts(spark, sf), v.protocols(spark, sf))
 
 
+@query
+def delivery_events(spark, sf):
+    return events.delivery_events(v.alerts(spark, sf), v.deliveries(spark, sf), F.col("created_at"))
+
+
 # Registries
 
 

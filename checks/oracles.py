@@ -416,6 +416,11 @@ QUERIES = {
                || '}' AS line
         FROM transactions t JOIN protocols p ON p.id = t.protocol_id, (SELECT unnest([0, 1, 2]) AS k)
         WHERE k = 0 OR (k = 1 AND t.risk_score >= 50) OR (k = 2 AND t.risk_score >= 70)""",
+    "delivery_events": """
+        SELECT '{"ts":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') || '","level":"' || CASE WHEN sent THEN 'INFO' ELSE 'WARNING' END
+               || '","service":"hexwarden","event":"alert.telegram.' || CASE WHEN sent THEN 'sent' ELSE 'failed' END
+               || '","alert_id":' || id || '}' AS line
+        FROM (SELECT *, id IN (SELECT event_id FROM events WHERE event_type = 'purchase') AS sent FROM alerts WHERE NOT telegram_sent)""",
     # Registries
     "protocol_registration": "SELECT request_id, address, outcome FROM registration_outcomes",
     "register_protocols": f"""

@@ -1,8 +1,10 @@
 """Feeds and statistics on small tables, where the SQL checks do not reach."""
 
+import json
+
 from pyspark.sql import functions as F
 
-from hexwarden.operators import alerts as alert_ops, rules
+from hexwarden.operators import alerts as alert_ops, events, rules
 from hexwarden.plans import feeds, requests, stats
 
 
@@ -74,6 +76,15 @@ def test_new_alerts_and_delivery(spark):
     assert sent == {1: True, 2: True, 3: False, 4: True}
 
 
+def test_delivery_events(spark):
+    alerts = spark.createDataFrame([(1, False), (2, False), (3, True), (4, False)], "id bigint, telegram_sent boolean")
+    receipts = spark.createDataFrame([(2,), (2,), (3,), (77,), (None,)], "alert_id bigint")
+    lines = events.delivery_events(alerts, receipts, F.lit("2024-01-01 00:00:00").cast("timestamp")).collect()
+    got = sorted((e["alert_id"], e["level"], e["event"]) for e in (json.loads(r.line) for r in lines))
+    failed = ("WARNING", "alert.telegram.failed")
+    assert got == [(1, *failed), (2, "INFO", "alert.telegram.sent"), (4, *failed)]
+
+
 def test_shown_protocol(spark):
     def table(rows):
         df = spark.createDataFrame(rows, "id bigint, is_active boolean, at string")
