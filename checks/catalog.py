@@ -32,8 +32,8 @@ from hexwarden.workspace import run_dir, written
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Files the streams read; five are taken per micro-batch.
-LANDED_FILES = 15
+# Blocks of a landed group and of a landed file; the streams take five files per micro-batch.
+LANDED_BLOCKS = 1_250
 PROTOCOL_COLUMNS = ("id", "name", "address", "chain", "is_active", "last_seen_block", "created_at")
 DECODED_COLUMNS = (
     "tx_hash", "block_number", "from_address", "to_address", "value_eth", "gas_used", "input_data",
@@ -335,25 +335,29 @@ def _matched(spark, sf):
     return matching.decode(matching.with_receipts(_matched_raw(spark, sf), v.receipts(spark, sf)))
 
 
-def _head(spark, sf):
-    return chain.head_block(v.raw_transactions(spark, sf).select(F.col("blockNumber").alias("number")))
+def _land_blocks(spark, sf):
+    """Land all blocks, cut by groups of them."""
+    landing = chain.Landing(run_dir(spark, "landed"), LANDED_BLOCKS, LANDED_BLOCKS)
+    landing.land_blocks(v.blocks(spark, sf))
+    return landing
 
 
-def _land_blocks(spark, sf):
-    """Write blocks and receipts as landed files, in block order."""
-    root = run_dir(spark, "landed")
-    ordered = v.blocks(spark, sf).repartitionByRange(LANDED_FILES, F.conv(F.substring("number", 3, 16), 16, 10).cast("bigint"))
-    ordered.write.json(f"{root}/blocks")
-    v.receipts(spark, sf).write.json(f"{root}/receipts")
-    return root
+def _land(spark, sf):
+    """Land all blocks and receipts."""
+    landing = _land_blocks(spark, sf)
+    landing.land_receipts(v.receipts(spark, sf))
+    return landing
+
+
+def _head(spark, sf):
+    return chain.head_block(v.raw_transactions(spark, sf).select(F.col("blockNumber").alias("number")))
 
 
 @query
 def landed_transactions(spark, sf):
-    root = _land_blocks(spark, sf)
-    raw = chain.block_transactions(chain.read_blocks(spark, f"{root}/blocks"))
-    received = chain.read_receipts(spark, f"{root}/receipts")
-    return _decoded_view(matching.decode(matching.with_receipts(raw, received)))
+    landing = _land(spark, sf)
+    raw = chain.block_transactions(landing.blocks(spark))
+    return _decoded_view(matching.decode(matching.with_receipts(raw, landing.receipts(spark))))
 
 
 @query
@@ -361,6 +365,11 @@ def head_block(spark, sf):
     return chain.head_block(v.blocks(spark, sf))
 
 
+@query
+def landed_head(spark, sf):
+    return _land_blocks(spark, sf).head(spark)
+
+
 @query
 def decode_transactions(spark, sf):
     return _decoded_view(_decoded(spark, sf))
@@ -393,10 +402,18 @@ def poll_windows(spark, sf):
     return windows.select("protocol_id", "address", "from_block", "to_block")
 
 
+def _matched_of(spark, sf, landing, ranges):
+    """Matches in the landed blocks of the groups that ``ranges`` touch."""
+    raw = chain.block_transactions(landing.blocks_of(spark, ranges))
+    return matching.with_block_number(matching.match(raw, v.protocols(spark, sf)))
+
+
 @query
 def window_transactions(spark, sf):
-    windows = polling.poll_windows(v.protocols(spark, sf), _head(spark, sf))
-    return matching.decode(polling.in_windows(_matched_raw(spark, sf), windows)).select("tx_hash", "protocol_id", "block_number")
+    landing = _land_blocks(spark, sf)
+    windows = written(polling.poll_windows(v.protocols(spark, sf), landing.head(spark)), "windows")
+    rows = polling.in_windows(_matched_of(spark, sf, landing, windows), windows)
+    return matching.decode(rows).select("tx_hash", "protocol_id", "block_number")
 
 
 @query
@@ -413,6 +430,17 @@ def backfill_new_protocol(spark, sf):
     return rows.select("tx_hash", "protocol_id", "block_number", "gas_used")
 
 
+@query
+def landed_backfill(spark, sf):
+    landing = _land(spark, sf)
+    new = v.protocols(spark, sf).withColumn("last_seen_block", F.lit(None).cast("bigint"))
+    head = written(landing.head(spark), "head")
+    ranges = written(polling.catch_up_range(new, head), "ranges")
+    rows = polling.backfill(_matched_of(spark, sf, landing, ranges), new, head)
+    rows = matching.decode(matching.with_receipts(rows, landing.receipts_of(spark, ranges)))
+    return rows.select("tx_hash", "protocol_id", "block_number", "gas_used")
+
+
 # Scores and alerts
 
 
@@ -581,17 +609,16 @@ def waitlist_decisions(spark, sf):
 
 def run_monitor(spark, sf) -> str:
     """Run the monitoring loop over all landed blocks; returns the folder of its tables."""
-    landed, root = _land_blocks(spark, sf), run_dir(spark, "monitor")
+    landing, root = _land(spark, sf), run_dir(spark, "monitor")
     answers = v.score_answers(spark, sf).select("tx_hash", "content")
-    received = chain.read_receipts(spark, f"{landed}/receipts")
     job = stream_ingest.MonitorJob(
         root=root,
         registry=lambda session: v.protocols(session, sf),
-        receipts=lambda first, last: chain.receipts_between(received, first, last),
+        receipts=lambda first, last: landing.receipts_between(spark, first, last),
         provider=lambda wanted: answers.join(wanted.select("tx_hash"), "tx_hash", "left_semi"),
         as_of=LOG_AS_OF,
     )
-    stream = chain.stream_blocks(spark, f"{landed}/blocks")
+    stream = landing.stream(spark)
     stream_ingest.start_monitor(stream, job, f"{root}/_checkpoint", once=True).awaitTermination()
     return root
 

@@ -351,6 +351,7 @@ QUERIES = {
     # Chain data
     "landed_transactions": "SELECT * EXCLUDE (pos) FROM decoded",
     "head_block": "SELECT head FROM head",
+    "landed_head": "SELECT head FROM head",
     "decode_transactions": "SELECT * EXCLUDE (pos) FROM decoded",
     "match_transactions": "SELECT tx_hash, protocol_id, block_number, value_eth, gas_used FROM matched",
     "first_writer": "SELECT tx_hash, protocol_id, block_number FROM first_writers",
@@ -370,6 +371,9 @@ QUERIES = {
     "backfill_new_protocol": """
         SELECT tx_hash, protocol_id, block_number, gas_used FROM matched, head
         WHERE is_active AND block_number BETWEEN head - 9 AND head""",
+    "landed_backfill": """
+        SELECT tx_hash, protocol_id, block_number, gas_used FROM matched, head
+        WHERE is_active AND block_number BETWEEN head - 9 AND head""",
     # Scores and alerts
     "parse_scores": "SELECT id, tx_hash, risk_score, risk_summary, risk_factors FROM scores",
     "resolve_scores": """

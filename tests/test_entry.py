@@ -22,7 +22,7 @@ assert not [m for m in sys.modules if m.startswith(("hexwarden.llm", "corpus_pip
 print(*e.queries()); assert set(e.oracle_sql()) <= set(e.queries())
 """
     names = _names(hidden)
-    assert len(names) == 81 and not [n for n in names if n.startswith("op") or n == "pipeline"]
+    assert len(names) == 83 and not [n for n in names if n.startswith("op") or n == "pipeline"]
     assert names <= _names("import __spark_entry__ as e; print(*e.queries())")
 
 
