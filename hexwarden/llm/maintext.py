@@ -7,7 +7,8 @@ stronger the closer they stand in the document tree. The minimum cut (by maximum
 evidence about a block gives way to its surroundings, strong evidence does not.
 
 Defined results: null or empty html and pages without content blocks give the empty text; unclosed, unknown and
-mismatched tags are tolerated; what stands in scripts, styles, forms' controls and comments of the markup is no text;
+mismatched tags are tolerated, and pages of any length and nesting are parsed in time linear in their tags;
+a comment's opening that never closes is text, and the tags behind it count; what stands in scripts, styles, forms' controls and comments of the markup is no text;
 pages are independent, so repeated rows and ids all appear; an empty table gives an empty table; extra columns are not
 read.
 """
@@ -58,14 +59,36 @@ SMOOTH = 2.0
 
 _NAME_WORDS = re.compile(r"[a-z]+")
 _SENTENCE = re.compile(r"[.!?…。！？][\"'»”’)\]]*$")
+_COMMENT_END = re.compile(r"--!?\s*>")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Block:
-    __slots__ = ("link_chars", "path", "tag", "text", "zone")
+    __slots__ = ("link_chars", "node", "tag", "text", "zone")
 
-    def __init__(self, text, link_chars, path, tag, zone):
-        self.text, self.link_chars, self.path, self.tag, self.zone = text, link_chars, path, tag, zone
+    def __init__(self, text, link_chars, node, tag, zone):
+        self.text, self.link_chars, self.node, self.tag, self.zone = text, link_chars, node, tag, zone
+
+
+class _Node:
+    """A block-level element; inline ones have no node, as they are no part of a block's place in the tree."""
+
+    __slots__ = ("depth", "parent", "tag", "zone")
+
+    def __init__(self, tag, zone, parent):
+        self.tag, self.zone, self.parent = tag, zone, parent
+        self.depth = parent.depth + 1 if parent else 0
+
+
+class _Open:
+    """An open element, with what has to be known of those it stands in, so that nothing walks the stack."""
+
+    __slots__ = ("inline_zone", "node", "node_at", "solid_at", "tag", "zone")
+
+    def __init__(self, tag, zone, node, inline_zone, node_at, solid_at):
+        self.tag, self.zone, self.node = tag, zone, node
+        self.inline_zone = inline_zone  # The lowest zone of the open inline elements; 1, the highest, without any.
+        self.node_at, self.solid_at = node_at, solid_at  # Places of the last block-level element, and of the last but <p>.
 
 
 def _zone(tag: str, attrs, outer: int) -> int:
@@ -90,35 +113,45 @@ class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.stack: list[tuple[str, int, int]] = []  # tag, number of the node, zone
-        self.nodes = self.silent = self.links = 0
+        self.root = _Node("body", 0, None)
+        self.stack: list[_Open] = [_Open("", 0, self.root, 1, 0, 0)]
+        self.places: dict[str, list[int]] = {}  # Where in the stack the open elements of a tag are.
+        self.silent = self.links = 0
         self.parts: list[str] = []
         self.link_chars = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            outer = [(t, n, z) for t, n, z in self.stack if t not in INLINE]
-            tag, _, zone = outer[-1] if outer else ("body", 0, 0)
-            inline_zone = min((z for t, _, z in self.stack if t in INLINE), default=zone)
-            self.blocks.append(
-                Block(text, self.link_chars, tuple(n for _, n, _ in outer), tag, min(zone, inline_zone))
-            )
+            top = self.stack[-1]
+            self.blocks.append(Block(text, self.link_chars, top.node, top.node.tag, min(top.node.zone, top.inline_zone)))
         self.parts, self.link_chars = [], 0
 
-    def _pop(self, count: int) -> None:
-        for tag, _, _ in self.stack[len(self.stack) - count :]:
+    def _push(self, tag: str, attrs) -> None:
+        top, at = self.stack[-1], len(self.stack)
+        zone = _zone(tag, attrs, top.zone)
+        if tag in INLINE:
+            opened = _Open(tag, zone, top.node, min(zone, top.inline_zone), top.node_at, top.solid_at)
+        else:
+            node = _Node(tag, zone, top.node)
+            opened = _Open(tag, zone, node, top.inline_zone, at, top.solid_at if tag == "p" else at)
+        self.stack.append(opened)
+        self.places.setdefault(tag, []).append(at)
+        self.silent += tag in SILENT
+        self.links += tag == "a"
+
+    def _pop_to(self, size: int) -> None:
+        while len(self.stack) > size:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
             self.silent -= tag in SILENT
             self.links -= tag == "a"
-        del self.stack[len(self.stack) - count :]
 
-    def _close(self, tag: str, within: frozenset | None = None) -> None:
-        for depth, (open_tag, _, _) in enumerate(reversed(self.stack), 1):
-            if open_tag == tag:
-                self._pop(depth)
-                return
-            if within and open_tag not in within:
-                return
+    def _close(self, tag: str, since: int = 0) -> None:
+        """Close the last open ``tag`` and all it holds, unless it stands before the place ``since``."""
+        places = self.places.get(tag)
+        if places and places[-1] >= since:
+            self._pop_to(places[-1])
 
     def handle_starttag(self, tag, attrs):
         if tag in ("br", "hr", "wbr"):
@@ -126,18 +159,13 @@ class _Blocks(HTMLParser):
         if tag not in INLINE and tag not in SILENT:
             self.flush()
             if tag == "body":
-                self._pop(len(self.stack))
+                self._pop_to(1)
             elif tag == "p" or tag in ("div", "ul", "ol", "table", "section", "article", "footer", "nav", "aside"):
-                self._close("p", INLINE | {"p"})
+                self._close("p", self.stack[-1].solid_at)
             elif tag in ("li", "td", "th", "tr", "dt", "dd", "option"):
-                self._close(tag, INLINE | {"p", tag})
-        if tag in VOID:
-            return
-        self.nodes += 1
-        outer = self.stack[-1][2] if self.stack else 0
-        self.stack.append((tag, self.nodes, _zone(tag, attrs, outer)))
-        self.silent += tag in SILENT
-        self.links += tag == "a"
+                self._close(tag, self.stack[-1].solid_at)
+        if tag not in VOID:
+            self._push(tag, attrs)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -147,7 +175,7 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag not in INLINE and tag not in SILENT:
             self.flush()
-        self._close(tag, INLINE if tag in INLINE else None)
+        self._close(tag, self.stack[-1].node_at if tag in INLINE else 0)
 
     def handle_data(self, data):
         if not self.silent:
@@ -156,9 +184,20 @@ class _Blocks(HTMLParser):
                 self.link_chars += len(data.strip())
 
 
+def _settled(html: str) -> str:
+    """The page with comments and tags that never close written as the text they count as; the parser would search the
+    rest of the page for the end of each."""
+    ends = 0
+    for match in _COMMENT_END.finditer(html):
+        ends = match.end()
+    html = html[:ends] + html[ends:].replace("<!--", "&lt;!--")
+    ends = html.rfind(">") + 1
+    return html[:ends] + html[ends:].replace("<", "&lt;")
+
+
 def blocks_of(html: str) -> list[Block]:
     parser = _Blocks()
-    parser.feed(html)
+    parser.feed(_settled(html))
     parser.close()
     parser.flush()
     return parser.blocks
@@ -176,18 +215,25 @@ def odds(block: Block) -> float:
     return total
 
 
+def _distance(one: _Node, other: _Node) -> int:
+    """Steps from one node of the tree to another; between blocks in page order no more than tags between them."""
+    steps = 0
+    while one is not other:
+        if one.depth < other.depth:
+            one, other = other, one
+        one, steps = one.parent, steps + 1
+    return steps
+
+
 def _edges(blocks: list[Block]):
-    last_under: dict[tuple, int] = {}
+    last_under: dict[_Node, int] = {}
     for i, block in enumerate(blocks):
-        near = {i - 1} if i else set()
-        if block.path[:-1] in last_under:
-            near.add(last_under[block.path[:-1]])
-        last_under[block.path[:-1]] = i
+        near, parent = {i - 1} if i else set(), block.node.parent or block.node
+        if parent in last_under:
+            near.add(last_under[parent])
+        last_under[parent] = i
         for j in near:
-            other = blocks[j].path
-            common = next((k for k, (x, y) in enumerate(zip(block.path, other, strict=False)) if x != y), None)
-            common = min(len(block.path), len(other)) if common is None else common
-            yield j, i, SMOOTH / (1 + len(block.path) + len(other) - 2 * common)
+            yield j, i, SMOOTH / (1 + _distance(blocks[j].node, block.node))
 
 
 def minimum_cut(gain: list[float], edges) -> list[bool]:

@@ -1,6 +1,7 @@
 """Toxicity, main text and the pipeline: held-out accuracy, planted cases, brute force."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -142,3 +143,108 @@ def test_pipeline_of_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.written(stage(spark, docs, SF), "test-empty")
     assert docs.count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "blocks"),
+    [
+        ("<div>word " * 20_000, 20_000),
+        ("<b>x" * 20_000 + "</i>" * 20_000, 1),
+        ("<i><p>" + "<b>x" * 20_000 + "</i>" * 20_000, 1),
+        ("<ul><li>some text here " * 8_000, 8_000),
+        (("<div>" * 2_000 + "word " + "</div>" * 2_000 + "more ") * 10, 20),
+        ("text <!--" * 30_000, 1),
+        ("text <a " * 30_000, 1),
+        ("<" * 50_000, 1),
+    ],
+)
+def test_hostile_pages_take_linear_time(page, blocks):
+    started = time.monotonic()
+    found = maintext.blocks_of(page)
+    maintext.minimum_cut([maintext.odds(b) for b in found], maintext._edges(found))
+    assert len(found) == blocks and time.monotonic() - started < 10
+
+
+def test_a_comment_that_never_closes_hides_no_tags():
+    found = maintext.blocks_of("<p>One.</p><!-- seen --><!-- open <p>Two.</p> <!-- again</body>")
+    assert [(b.text, b.tag) for b in found] == [("One.", "p"), ("<!-- open", "body"), ("Two.", "p"), ("<!-- again", "body")]
+
+
+def _plain_blocks(page):
+    """Blocks with their whole path, by walking the stack for every tag and every block."""
+    from html.parser import HTMLParser
+
+    inline, silent, void = maintext.INLINE, maintext.SILENT, maintext.VOID
+    blocks, stack, parts, nodes = [], [], [], [0]
+
+    def flush():
+        text = " ".join("".join(parts).split())
+        parts.clear()
+        if text:
+            path = [e for e in stack if e[0] not in inline]
+            zones = [e[2] for e in stack if e[0] in inline] + [path[-1][2] if path else 0]
+            blocks.append((text, path[-1][0] if path else "body", min(zones), [e[1] for e in path]))
+
+    def close(tag, stops=lambda other: False):
+        for at in range(len(stack) - 1, -1, -1):
+            if stack[at][0] == tag:
+                del stack[at:]
+                return
+            if stops(stack[at][0]):
+                return
+
+    class Walk(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if tag in ("br", "hr"):
+                parts.append(" ")
+            if tag not in inline | silent:
+                flush()
+                if tag == "body":
+                    stack.clear()
+                elif tag in ("p", "div", "ul", "ol", "table", "section", "article", "footer", "nav", "aside"):
+                    close("p", lambda other: other not in inline | {"p"})
+                elif tag in ("li", "td", "th", "tr", "dt", "dd", "option"):
+                    close(tag, lambda other: other not in inline | {"p", tag})
+            if tag not in void:
+                nodes[0] += 1
+                stack.append((tag, nodes[0], maintext._zone(tag, attrs, stack[-1][2] if stack else 0)))
+
+        def handle_endtag(self, tag):
+            if tag not in inline | silent:
+                flush()
+            close(tag, (lambda other: other not in inline) if tag in inline else lambda other: False)
+
+        def handle_data(self, data):
+            if not any(e[0] in silent for e in stack):
+                parts.append(data)
+
+    walk = Walk()
+    walk.feed(page)
+    walk.close()
+    flush()
+    return blocks
+
+
+def _plain_edges(blocks):
+    out, last = [], {}
+    for i, (*_, path) in enumerate(blocks):
+        near, under = {i - 1} if i else set(), tuple(path[:-1])
+        near |= {last[under]} if under in last else set()
+        last[under] = i
+        for j in near:
+            common = sum(x == y for x, y in zip(path, blocks[j][3], strict=False))
+            out.append((j, i, maintext.SMOOTH / (1 + len(path) + len(blocks[j][3]) - 2 * common)))
+    return sorted(out)
+
+
+def test_blocks_of_random_tag_soup_equal_a_walk_of_the_stack():
+    rng = random.Random(5)
+    tags = "div p b i a span li ul td tr table article nav script section form body html br h1 em footer select dl dt header".split()
+    names = ("", "", ' class="ad"', ' class="article"', ' id="comments"', ' class="main story"')
+    texts = ("word ", "A sentence. ", " ", "&amp; ", "<!-- note -->", "<a ", "< ", "\u00a9 2020 ")
+    for _ in range(1500):
+        soup = [rng.choice((f"<{rng.choice(tags)}{rng.choice(names)}>", f"</{rng.choice(tags)}>", rng.choice(texts))) for _ in range(rng.randint(1, 40))]
+        page = "".join(soup)
+        want, got = _plain_blocks(page), maintext.blocks_of(page)
+        assert [(b.text, b.tag, b.zone) for b in got] == [w[:3] for w in want], page
+        assert sorted(maintext._edges(got)) == _plain_edges(want), page
