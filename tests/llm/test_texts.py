@@ -149,6 +149,31 @@ def test_every_partner_of_a_passage_is_linked(frame):
     assert {(r.doc_id, r.class_id, r.n_links) for r in rows} == {(5, 3, 2), (3, 3, 1), (9, 3, 1), (6, 6, 1), (7, 6, 1)}
 
 
+def test_live_windows_hold_a_passage_of_recurring_shingles():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        n = int(rng.integers(passages.TOKENS, 200))
+        recurring = rng.random(n) < rng.choice([0.8, 0.88, 0.95])
+        l, c, r = passages.compact_windows(rng.integers(0, 2**60, n).astype(np.uint64), passages.TOKENS)
+        starts = [range(max(a, b - passages.TOKENS + 1), min(b, z - passages.TOKENS + 1) + 1) for a, b, z in zip(l, c, r, strict=True)]
+        want = [any(recurring[s : s + passages.TOKENS].sum() >= passages.SHARED for s in each) for each in starts]
+        assert passages._live(recurring, l, c, r).tolist() == want
+
+
+def test_a_common_line_pairs_no_documents(frame, monkeypatch):
+    rng = random.Random(9)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    line, before = words(30), words(30)
+    docs = {i: words(60) + line + words(60) for i in range(78)}
+    docs |= {i: words(40) + before + line + words(40) for i in (100, 101)}
+    met, paired = [], passages._paired
+    monkeypatch.setattr(passages, "_paired", lambda found, label: met.append(found.count()) or paired(found, label))
+    rows = passages.near_passages(frame([(i, " ".join(w), "a", "b") for i, w in docs.items()], DOCS)).collect()
+    assert {(r.doc_id, r.other_id) for r in rows} == {(100, 101), (101, 100)}
+    assert all(r.start_word <= 40 and r.end_word >= 100 for r in rows)
+    assert sum(met) < len(docs) ** 2
+
+
 # Benchmark
 
 
