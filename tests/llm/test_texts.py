@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -160,6 +161,61 @@ def test_live_windows_hold_a_passage_of_recurring_shingles():
         assert passages._live(recurring, l, c, r).tolist() == want
 
 
+def test_windows_of_documents_laid_out_together_are_those_of_each():
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, 9, n)) for n in (50, 49, 300, 0, 120, 80)]
+    every = np.full(1 << 18, ~np.uint64(0))
+    batch = pa.RecordBatch.from_pydict({"text_hash": range(10, 16), "id": range(6), "text": texts})
+    got = [r for b in passages._windower(every, every)([batch]) for r in b.to_pylist()]
+    want = []
+    for i, text in enumerate(texts):
+        found = passages.shingles(text)
+        for fn in range(passages.HASHES) if len(found) >= passages.TOKENS else ():
+            values = passages._mix(found, 2 + fn)
+            l, c, r = passages.compact_windows(values, passages.TOKENS)
+            first, last = np.maximum(l, c - passages.TOKENS + 1), np.minimum(c, r - passages.TOKENS + 1)
+            keys = passages._mix(values[c], 99 + fn).view(np.int64)
+            want += zip(keys.tolist(), [10 + i] * len(c), [i] * len(c), first.tolist(), c.tolist(), last.tolist(), [fn] * len(c), strict=True)
+    place = passages._unpacked(np.array([r["place"] for r in got]))
+    rows = zip(*([r[n] for r in got] for n in ("key", "text_hash", "id")), *(place[n].tolist() for n in ("first", "c", "last", "fn")), strict=True)
+    assert all(r["live"] for r in got) and ordered(rows) == ordered(want)
+
+
+def test_windows_of_one_document_only_are_not_kept(frame, monkeypatch):
+    rng = random.Random(10)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    shared = words(60)
+    docs = {1: words(400) + shared + words(400), 2: words(300) + shared + words(500)}
+    kept, written = {}, passages.written
+
+    def noted(rows, label):
+        kept[label] = written(rows, label)
+        return kept[label]
+
+    monkeypatch.setattr(passages, "written", noted)
+    rows = passages.near_passages(frame([(i, " ".join(w), "a", "b") for i, w in docs.items()], DOCS)).collect()
+    assert {(r.doc_id, r.other_id) for r in rows} == {(1, 2), (2, 1)}
+    windows = [r for label, df in kept.items() if "key" in df.columns and "open" not in label for r in df.where("key IS NOT NULL").collect()]
+    holders = {}
+    for r in windows:
+        holders.setdefault(r.key, set()).add(r.id)
+    assert windows and all(len(ids) > 1 for ids in holders.values())
+
+
+def test_a_pair_brings_only_the_words_its_evidence_concerns():
+    text = " ".join(f"w{k}" for k in range(2000))
+    place = passages._packed(np.array([1000, 1010]), np.array([980, 1000]), np.array([990, 1010]), 3)
+    evidence = [[{"key": 1, "place": int(p), "other_c": 7} for p in place]]
+    sides = {n: [k] for k, n in enumerate(passages.SIDES)}
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("place", pa.int64()), ("other_c", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, sides.values()), pa.array(evidence, kind), pa.array([text])], names=[*sides, "evidence", "text"])
+    (row,) = [r for b in passages._cut_out([batch]) for r in b.to_pylist()]
+    words = row["text"].split()
+    assert words == text.split()[row["begin"] : row["begin"] + len(words)] and len(words) < 200
+    assert row["begin"] <= 1000 - passages.TOKENS - 2 * passages.SLACK
+    assert row["begin"] + len(words) >= 1010 + passages.PASSAGE + 2 * passages.SLACK
+
+
 def test_a_common_line_pairs_no_documents(frame, monkeypatch):
     rng = random.Random(9)
     words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
