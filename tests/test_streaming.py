@@ -147,6 +147,39 @@ def test_rules_receipts_and_whole_table_lookup(spark, tmp_path):
     assert all(0 <= r.risk_score <= 100 for r in got.values()) and tables.read_table(spark, str(root), "alerts").count() == 2
 
 
+def test_receipts_of_the_blocks_between_are_not_asked_for(spark, tmp_path):
+    numbers, seen, used = [5, 7, 900, 500_000, 500_001], [], set()
+
+    def receipts(first, last):
+        seen.append((first, last))
+        inside = [n for n in numbers if first <= n <= last]
+        return spark.createDataFrame([(f"0x{n:04x}0001", hex(n), hex(n)) for n in inside], schemas.RECEIPT)
+
+    def answers(requests):
+        used.add(requests.sparkSession.conf.get(ingest.PARTITIONS))
+        return _answers(requests)
+
+    _land(tmp_path / "landed", [{"number": hex(n), "transactions": [_tx(n, 1, WATCHED[1])]} for n in numbers])
+    blocks, usual = chain.read_blocks(spark, str(tmp_path / "landed")), spark.conf.get(ingest.PARTITIONS)
+    job = ingest.MonitorJob(str(tmp_path / "tables"), _registry, receipts=receipts, provider=answers)
+    spark.conf.set(ingest.PARTITIONS, "500")
+    try:
+        job(blocks, 0)
+        assert spark.conf.get(ingest.PARTITIONS) == "500"
+    finally:
+        spark.conf.set(ingest.PARTITIONS, usual)
+    assert seen == [(5, 900), (500_000, 500_001)] and used == {str(2 * spark.sparkContext.defaultParallelism)}
+    assert {r.block_number: r.gas_used for r in _stored(spark, tmp_path / "tables")} == {n: n for n in numbers}
+    (run,) = ingest.read_runs(spark, str(tmp_path / "tables")).collect()
+    assert (run.from_block, run.to_block, run.blocks) == (5, 500_001, 5)
+
+
+def test_stretches_are_few():
+    assert ingest.stretches([(1, 900), (1_000, 1_999), (3_500, 3_600)]) == [(1, 1_999), (3_500, 3_600)]
+    many = ingest.stretches([(n * n * 10**4, n * n * 10**4 + 1) for n in range(500)])
+    assert 1 < len(many) <= ingest.MOST_STRETCHES and (many[0][0], many[-1][1]) == (0, 499 * 499 * 10**4 + 1)
+
+
 def test_same_hash_in_a_far_block_is_stored_once(spark, tmp_path):
     near, far = _tx(5, 1, WATCHED[1]), {**_tx(5, 1, WATCHED[1]), "blockNumber": hex(500_000)}
     root, job = tmp_path / "tables", _job(tmp_path / "tables")
